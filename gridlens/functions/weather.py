@@ -29,12 +29,16 @@ def _c(x) -> Column:
 
 
 def apparent_temperature(temperature, humidity) -> Column:
-    """Felt temperature rounded half-even to 1 decimal."""
+    """Felt temperature rounded half-even to 1 decimal.
+
+    The value is first cleaned to 9 decimals so that a result one ulp
+    below a .x5 boundary rounds the same way in every engine (Python's
+    ``round`` on the raw binary value can differ there)."""
     t, r = _c(temperature), _c(humidity)
     c0, c1, c2, c3, c4, c5 = HEAT_POLY
     hot = c0 + c1 * t + c2 * r + c3 * t * r + c4 * t * t + c5 * r * r
     cold = F.when(r < COLD_DRY_R, t - (F.lit(COLD_DRY_R) - r) * COLD_DRY_STEP).otherwise(t)
-    return F.bround(F.when(t >= HEAT_POLY_MIN_T, hot).otherwise(cold), 1)
+    return F.bround(F.round(F.when(t >= HEAT_POLY_MIN_T, hot).otherwise(cold), 9), 1)
 
 
 def thermal_comfort_index(temperature) -> Column:

@@ -113,14 +113,15 @@ def trend_runs(df: DataFrame, value_col: str = "load", time_col: str = "datetime
     non-null direction comes from an exact carried forward-fill, the run id
     is an exact carried running sum — no task ever holds a whole series."""
     keys = list(keys)
-    lo = o.layout(df, time_col, keys, halo=1, chunk=chunk)
+    lo = o.layout(df, time_col, keys, halo=24, chunk=chunk)
     w = lo.window
     v = F.col(value_col)
-    prev_v = F.lag(v, 1).over(w)
-    rate = F.try_divide(v, prev_v) - 1
-    step = lo.df.withColumn("_rate", F.when(prev_v.isNotNull() & v.isNotNull(),
-                                            F.when((prev_v == 0) & (v != 0), F.lit(0.0))
-                                             .otherwise(rate)))
+    # previous value padded over nulls (pandas pct_change pads first)
+    prev_v = F.last(v, ignorenulls=True).over(w.rowsBetween(-lo.halo, -1))
+    inf = F.lit(float("inf"))
+    rate = (F.when((prev_v == 0) & (v > 0), inf).when((prev_v == 0) & (v < 0), -inf)
+             .otherwise(F.try_divide(v, prev_v) - 1))
+    step = lo.df.withColumn("_rate", F.when(prev_v.isNotNull() & v.isNotNull(), rate))
     step = lo.finish(step, keep_index=True)
     dir_ = (F.when(F.col("_rate") > threshold, "increasing")
              .when(F.col("_rate") < -threshold, "decreasing")
