@@ -31,7 +31,9 @@ def round6(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            r = F.round(F.col(f.name), digits)
+            # fold -0.0 into 0.0 so both engines hash zeros alike
+            cols.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -42,6 +44,7 @@ def sql(ctes: str, body: str, doubles: list[str] | tuple = ()) -> str:
     ctes = ctes.strip()
     head = f"WITH {ctes},\n_r AS ({body})" if ctes else f"WITH _r AS ({body})"
     if doubles:
-        rep = ", ".join(f"round(CAST({d} AS DOUBLE), 6) AS {d}" for d in doubles)
+        rep = ", ".join(f"(CASE WHEN round(CAST({d} AS DOUBLE), 6) = 0 THEN 0.0 "
+                        f"ELSE round(CAST({d} AS DOUBLE), 6) END) AS {d}" for d in doubles)
         return f"{head}\nSELECT * REPLACE ({rep}) FROM _r"
     return f"{head}\nSELECT * FROM _r"
