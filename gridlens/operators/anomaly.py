@@ -94,9 +94,9 @@ def feature_context_text(df: DataFrame) -> Column:
     """Newline-joined ``- name: value unit`` lines for the key features and
     load lags present (lags with 1 decimal)."""
     cols = set(df.columns)
-    parts = [F.when(F.col(c).isNotNull(), F.format_string(f"- {name}: %s{unit}", F.col(c).cast("string")))
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"- {name}: "), F.col(c).cast("string"), F.lit(unit)))
              for c, name, unit in CONTEXT_FEATURES if c in cols]
-    parts += [F.when(F.col(c).isNotNull(), F.format_string(f"- {name}: %.1f MW", F.col(c)))
+    parts += [F.when(F.col(c).isNotNull(), F.format_string(f"- {name}: %.1f MW", F.round(F.col(c), 1)))
               for c, name in CONTEXT_LAGS if c in cols]
     if not parts:
         return F.lit("(no feature details)")
