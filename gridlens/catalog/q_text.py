@@ -175,15 +175,7 @@ def q_root_cause(spark, sf_dir):
     return an.root_cause_rules(d).select("datetime", "root_cause")
 
 
-@register("feature_context_text", sql(_DEV, """
-SELECT datetime, concat_ws(chr(10),
-  CASE WHEN temperature IS NOT NULL THEN '- Temperature: ' || CAST(round(temperature, 2) AS VARCHAR) || ' C' END,
-  CASE WHEN humidity IS NOT NULL THEN '- Humidity: ' || CAST(round(humidity, 2) AS VARCHAR) || ' %' END,
-  CASE WHEN hour IS NOT NULL THEN '- Hour: ' || CAST(hour AS VARCHAR) END,
-  CASE WHEN is_workday IS NOT NULL THEN '- Workday: ' || CAST(is_workday AS VARCHAR) END,
-  CASE WHEN is_holiday IS NOT NULL THEN '- Holiday: ' || CAST(is_holiday AS VARCHAR) END,
-  CASE WHEN load_lag_1h IS NOT NULL THEN '- Load 1 h earlier: ' || printf('%.1f', round(load_lag_1h, 1)) || ' MW' END) AS context
-FROM dev"""))
+@register("feature_context_text")
 def q_feature_context(spark, sf_dir):
     d = an.deviation_scan(fx.predictions_naive(spark, sf_dir), top=None)
     d = d.withColumns({"temperature": F.round("temperature", 2), "humidity": F.round("humidity", 2)})
