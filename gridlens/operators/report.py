@@ -121,10 +121,10 @@ def pair_text(pairs: DataFrame) -> Column:
     pct = F.try_divide(d, F.col("prediction1")) * 100
     parts = [F.format_string("The forecast changes by %.1f MW (%.1f%%).", d, F.coalesce(pct, F.lit(0.0))),
              F.when(F.size("key_drivers") > 0, F.concat(F.lit("Main drivers: "),
-                                                       F.array_join(F.transform("key_drivers", display_name_expr), ", "),
+                                                       F.array_join(F.transform("key_drivers", lambda x: display_name_expr(x)), ", "),
                                                        F.lit("."))),
              F.when(F.size("key_reducers") > 0, F.concat(F.lit("Main reducers: "),
-                                                        F.array_join(F.transform("key_reducers", display_name_expr), ", "),
+                                                        F.array_join(F.transform("key_reducers", lambda x: display_name_expr(x)), ", "),
                                                         F.lit(".")))]
     dt = F.col("temperature2") - F.col("temperature1")
     parts.append(F.when(F.abs(dt) > PAIR_TEMP_SHIFT, F.format_string(

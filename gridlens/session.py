@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # feature plans carry ~50 aliased columns plus null filters; inferring
+    # constraints over them is combinatorial in Catalyst
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -51,6 +54,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+PLANNER_DEFAULTS = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + planner settings the library relies on; a value
+    the user set explicitly is left alone."""
+    ensure_checkpoint_dir(spark)
+    for k, v in PLANNER_DEFAULTS.items():
+        try:
+            explicit = spark.sparkContext.getConf().contains(k)
+        except Exception:  # noqa: BLE001
+            explicit = False
+        if not explicit:
+            spark.conf.set(k, v)
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
     executor loss; never a machine-local checkpoint)."""
