@@ -31,6 +31,10 @@ FACTOR_WORDS = {"temperature": "high temperature", "humidity": "high humidity",
 FACTOR_OTHER = "this factor"
 DETAIL_LEVELS = ("brief", "standard", "detailed")
 CONTRIB_TOP = 5
+# normal value ranges per feature, and the extreme-contribution level (MW)
+NORMAL_RANGES = {"temperature": (5, 40), "humidity": (20, 95), "hour": (0, 23),
+                 "load_lag_1h": (500, 4000), "load_lag_24h": (500, 4000), "load_lag_168h": (500, 4000)}
+EXTREME_CONTRIBUTION = 200.0
 # ---------------------------------------------------------------------------
 
 
@@ -266,3 +270,49 @@ def dashboard_data(df: DataFrame, target: str = "load", time_col: str = "datetim
                     .alias("panel"),
                     F.coalesce(F.col("d"), F.col("h").cast("string"), F.col("w").cast("string")).alias("key"),
                     "value")
+
+
+def abnormal_features(contrib: DataFrame, ranges: dict | None = None,
+                      extreme: float = EXTREME_CONTRIBUTION) -> DataFrame:
+    """Per contribution row: value outside its normal range (deviation low /
+    high by how much) and, separately, |contribution| above ``extreme``.
+    The range table is a fixed-size parameter (broadcast join)."""
+    ranges = ranges or NORMAL_RANGES
+    spark = contrib.sparkSession
+    rt = spark.createDataFrame([(k, float(lo), float(hi)) for k, (lo, hi) in ranges.items()],
+                               "feature string, _lo double, _hi double")
+    j = contrib.join(F.broadcast(rt), "feature", "left")
+    v = F.col("feature_value")
+    out_range = j.filter((v < F.col("_lo")) | (v > F.col("_hi"))).select(
+        *[c for c in contrib.columns if c in ("row_id", "datetime")], "feature", v.alias("value"),
+        F.lit(None).cast("double").alias("shap_value"),
+        F.when(v < F.col("_lo"), "low").otherwise("high").alias("deviation"),
+        F.when(v < F.col("_lo"), F.abs(v - F.col("_lo"))).otherwise(F.abs(v - F.col("_hi"))).alias("deviation_amount"))
+    extreme_rows = j.filter(F.col("abs_contribution") > extreme).select(
+        *[c for c in contrib.columns if c in ("row_id", "datetime")], "feature", v.alias("value"),
+        F.col("shap_value"), F.lit("extreme_contribution").alias("deviation"),
+        F.col("abs_contribution").alias("deviation_amount"))
+    return out_range.unionByName(extreme_rows)
+
+
+def data_profile(df: DataFrame, time_col: str = "datetime") -> DataFrame:
+    """Long profile ``(section, name, metric, value)``: basic info, missing
+    values, distribution summary and the hour / weekday / month patterns."""
+    from . import profile as prof
+    info = prof.basic_info(df, time_col).select(
+        F.lit("info").alias("section"), F.lit("table").alias("name"),
+        F.expr("stack(3, 'n_rows', CAST(n_rows AS DOUBLE), 'n_columns', CAST(n_columns AS DOUBLE), "
+               "'date_range_days', CAST(date_range_days AS DOUBLE))").alias("metric", "value"))
+    miss = prof.missing_stats(df).select(F.lit("missing").alias("section"), F.col("column").alias("name"),
+                                         F.expr("stack(2, 'missing_count', CAST(missing_count AS DOUBLE), "
+                                                "'missing_pct', missing_pct)").alias("metric", "value"))
+    num = [c for c in df.columns if c != time_col and dict(df.dtypes)[c] in ("double", "float", "int", "bigint")]
+    dist = prof.distribution_summary(df, num).select(
+        F.lit("distribution").alias("section"), F.col("column").alias("name"),
+        F.expr("stack(10, 'count', CAST(count AS DOUBLE), 'mean', mean, 'std', std, 'min', min, 'q25', q25, "
+               "'median', median, 'q75', q75, 'max', max, 'skew', skew, 'kurtosis', kurtosis)")
+        .alias("metric", "value"))
+    pats = prof.patterns_grouping_sets(df, num[0], time_col).select(
+        F.concat(F.lit("pattern:"), F.col("pattern")).alias("section"), F.col("key").cast("string").alias("name"),
+        F.expr("stack(2, 'mean', mean, 'std', std)").alias("metric", "value"))
+    return info.unionByName(miss).unionByName(dist).unionByName(pats)

@@ -81,3 +81,21 @@ def add_generator_calendar(df: DataFrame, ts: str = "datetime") -> DataFrame:
         "date": F.to_date(t), "hour": F.hour(t), "day_of_week": F.weekday(t),
         "is_weekend": F.weekday(t) >= 5, "is_holiday": cal.holiday_flag(t),
         "season": cal.season(t)})
+
+
+def load_series(df: DataFrame, time_col: str = "datetime") -> DataFrame:
+    """Composite loader: standardise alias names and types, drop rows
+    without a target, interpolate weather gaps by position, ordered by time
+    at the sink only (no global sort here)."""
+    from ..operators import standardize as std
+    from ..operators import windows as win
+    s = std.drop_null_target(std.standardize_columns(df))
+    return win.linear_interpolate(s, ["temperature", "humidity"], time_col)
+
+
+def csv_sink(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Headered CSV, one folder; optionally partitioned (e.g. by month)."""
+    w = df.write.mode("overwrite").option("header", True)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.csv(path)
