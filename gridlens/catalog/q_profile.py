@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlens.functions.stats import safe_corr
+
 from ..operators import compare as cmp
 from ..operators import insight
 from ..operators import profile as prof
@@ -160,7 +162,7 @@ def q_resample_spine(spark, sf_dir):
 @register("correlation_pair", sql(fs.HOURLY, "SELECT corr(temperature, load) AS correlation FROM hourly",
                                   ["correlation"]))
 def q_corr_pair(spark, sf_dir):
-    return round6(fx.hourly(spark, sf_dir).agg(F.corr("temperature", "load").alias("correlation")))
+    return round6(fx.hourly(spark, sf_dir).agg(safe_corr("temperature", "load").alias("correlation")))
 
 
 _CM = ["load", "temperature", "humidity"]

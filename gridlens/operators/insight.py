@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.stats import safe_corr
+
 from ..plans import ordered as o
 from .windows import pct_change_expr
 
@@ -175,7 +177,7 @@ def lagged_correlation(df: DataFrame, f1: str, f2: str, max_lag: int = 24,
     w = lo.window
     lagged = lo.finish(lo.df.withColumns(
         {f"_l{k}": F.lag(f2, k).over(w) for k in range(max_lag + 1)}))
-    wide = lagged.groupBy(*keys).agg(*[F.corr(F.col(f1), F.col(f"_l{k}")).alias(f"c{k}")
+    wide = lagged.groupBy(*keys).agg(*[safe_corr(F.col(f1), F.col(f"_l{k}")).alias(f"c{k}")
                                        for k in range(max_lag + 1)])
     long = wide.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("correlation"))

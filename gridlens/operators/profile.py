@@ -7,6 +7,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from gridlens.functions.stats import safe_corr
 from pyspark.sql import types as T
 
 from ..plans import ordered as o
@@ -228,7 +230,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
     numeric columns: one aggregate with every pair, unpivoted."""
     cols = list(columns or [c for c in _numeric_cols(df) if c not in set(exclude)][:max_cols])
     pairs = [(a, b) for a in cols for b in cols]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"{a}__{b}").alias("correlation"))
         for a, b in pairs])).alias("kv")).select("kv.*")
@@ -239,7 +241,7 @@ def top_drivers(df: DataFrame, target: str = "load",
                 min_abs: float = 0.3, top: int = 10) -> DataFrame:
     """Numeric columns whose |corr(col, target)| > min_abs, strongest first."""
     cols = [c for c in _numeric_cols(df) if c not in set(exclude) and c != target]
-    wide = df.agg(*[F.corr(c, target).alias(c) for c in cols])
+    wide = df.agg(*[safe_corr(c, target).alias(c) for c in cols])
     long = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in cols])).alias("kv")
     ).select("kv.*").filter(F.abs("correlation") > min_abs)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.functions.stats import safe_corr
+
 from ..functions import calendar as cal
 from ..operators import windows as win
 from ..plans import ordered as o
@@ -153,7 +155,7 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(weights, "feature"))
     t = F.col("datetime")
     hh = h.withColumns({"hour": F.hour(t).cast("double"), "day_of_week": F.weekday(t).cast("double")})
-    corr = hh.agg(*[F.abs(F.corr(f, "load")).alias(f) for f in LINEAR_WEIGHTS])
+    corr = hh.agg(*[F.abs(safe_corr(f, "load")).alias(f) for f in LINEAR_WEIGHTS])
     corr_long = corr.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
                                                          F.col(f).alias("gain"))
                                                 for f in LINEAR_WEIGHTS])).alias("kv")).select("kv.*")
