@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..plans.quantiles import quantile_columns
 
 # ---- fixed values ---------------------------------------------------------
 DRIVER_SHAP_CHANGE = 20.0       # |shap change| above -> driver / reducer
@@ -41,11 +42,12 @@ def period_stats(df: DataFrame, periods: Sequence[tuple[str, str, str]], target:
                  time_col: str = "datetime", approx: bool = False) -> DataFrame:
     """count, mean, std, min, max, median, sum of ``target`` per period."""
     tagged = tag_periods(df, periods, time_col)
-    med = F.percentile_approx(target, 0.5, 10000) if approx else F.percentile(target, 0.5)
+    med = quantile_columns(tagged, target, {"median": 0.5}, ["period"], approx)
     return tagged.groupBy("period").agg(
         F.count(F.lit(1)).alias("count"), F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"),
-        F.min(target).alias("min"), F.max(target).alias("max"), med.alias("median"),
-        F.sum(target).alias("sum"))
+        F.min(target).alias("min"), F.max(target).alias("max"),
+        F.sum(target).alias("sum")).join(med, "period", "left").select(
+        "period", "count", "mean", "std", "min", "max", "median", "sum")
 
 
 def period_diff(stats: DataFrame, p1: str, p2: str) -> DataFrame:

@@ -387,9 +387,11 @@ def ice_decile(pm: PipelineModel, df: DataFrame, feature: str, key_col: str = "r
     """Rows bucketed by their own prediction into quantile bins (edges at
     0, 1/n, ..., 1; duplicate edges dropped; first bin closed on the left),
     then the mean curve per bin."""
+    from ..plans.quantiles import quantiles
     base = pm.transform(df).select(key_col, F.col("prediction").alias("_own"))
-    edges = base.agg(F.percentile("_own", [i / n_bins for i in range(n_bins + 1)]).alias("_e"))
-    uniq = edges.select(F.array_distinct(F.array_sort("_e")).alias("_e"))
+    q = quantiles(base, "_own", [i / n_bins for i in range(n_bins + 1)])
+    # n_bins + 1 edges: a bounded array
+    uniq = q.agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_e"))
     b = base.crossJoin(F.broadcast(uniq)).withColumn(
         "bin", F.size(F.filter(F.slice("_e", 2, n_bins + 1),
                                lambda e: e < F.col("_own"))) - F.when(F.col("_own") > F.element_at("_e", -1), 1)

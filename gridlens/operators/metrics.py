@@ -9,6 +9,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import quantile_columns
+
 # ---- fixed values ---------------------------------------------------------
 MASE_SEASON = 24
 SOFTMAX_SCALE = 10.0
@@ -72,8 +74,7 @@ def evaluate_model(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "y"
     keys = list(keys)
     base = regression_metrics(df, keys, y, yhat)
     err = F.col(y) - F.col(yhat)
-    p95 = (F.percentile_approx(F.abs(err), 0.95, 10000) if approx else F.percentile(F.abs(err), 0.95))
-    pct = df.groupBy(*keys).agg(p95.alias("_p95"))
+    pct = quantile_columns(df.withColumn("_ae", F.abs(err)), "_ae", {"_p95": 0.95}, keys, approx)
     j = df.join(pct, keys, "left") if keys else df.crossJoin(F.broadcast(pct))
     extra = [F.avg(y).alias("actual_mean"), F.stddev_pop(y).alias("actual_std"),
              F.avg(yhat).alias("predicted_mean"), F.stddev_pop(yhat).alias("predicted_std"),

@@ -12,6 +12,7 @@ from gridlens.functions.stats import safe_corr
 from pyspark.sql import types as T
 
 from ..plans import ordered as o
+from ..plans.quantiles import quantile_columns
 
 
 def _numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -119,12 +120,11 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str =
     cols = list(columns or _numeric_cols(df))
     long = _unpivot_numeric(df, cols)
     if method == "iqr":
-        q = (F.percentile_approx("value", [0.25, 0.75], 10000) if approx
-             else F.percentile("value", [0.25, 0.75]))
-        b = long.groupBy("column").agg(q.alias("_q"), F.count(F.lit(1)).alias("_n"))
-        iqr = F.col("_q")[1] - F.col("_q")[0]
-        b = b.select("column", "_n", (F.col("_q")[0] - threshold * iqr).alias("_lo"),
-                     (F.col("_q")[1] + threshold * iqr).alias("_hi"))
+        q = quantile_columns(long, "value", {"_q1": 0.25, "_q3": 0.75}, ["column"], approx)
+        n = long.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
+        iqr = F.col("_q3") - F.col("_q1")
+        b = q.join(n, "column").select("column", "_n", (F.col("_q1") - threshold * iqr).alias("_lo"),
+                                       (F.col("_q3") + threshold * iqr).alias("_hi"))
         is_out = (F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))
     elif method == "zscore":
         b = long.groupBy("column").agg(F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"),
@@ -158,17 +158,16 @@ def distribution_summary(df: DataFrame, columns: Sequence[str] | None = None,
     column (nulls dropped; skew / kurtosis bias-corrected; rounded)."""
     cols = list(columns or _numeric_cols(df))
     long = _unpivot_numeric(df, cols)
-    q = (F.percentile_approx("value", [0.25, 0.5, 0.75], 10000) if approx
-         else F.percentile("value", [0.25, 0.5, 0.75]))
+    q = quantile_columns(long, "value", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, ["column"], approx)
     skew, kurt = adjusted_skew_kurt("value")
     agg = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"),
-        skew.alias("skew"), kurt.alias("kurtosis"))
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        skew.alias("skew"), kurt.alias("kurtosis")).join(q, "column", "left")
     r = lambda c: F.round(c, digits)
     return agg.select("column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                      r(F.col("min")).alias("min"), r(F.col("_q")[0]).alias("q25"),
-                      r(F.col("_q")[1]).alias("median"), r(F.col("_q")[2]).alias("q75"),
+                      r(F.col("min")).alias("min"), r(F.col("_q25")).alias("q25"),
+                      r(F.col("_q50")).alias("median"), r(F.col("_q75")).alias("q75"),
                       r(F.col("max")).alias("max"), r(F.col("skew")).alias("skew"),
                       r(F.col("kurtosis")).alias("kurtosis"))
 
@@ -257,20 +256,19 @@ def series_statistics(df: DataFrame, target: str = "load", time_col: str = "date
     keys = list(keys)
     t = F.col(time_col)
     weekend = F.weekday(t) >= 5
-    q = (F.percentile_approx(target, [0.5, 0.25, 0.75], 10000) if approx
-         else F.percentile(target, [0.5, 0.25, 0.75]))
+    q = quantile_columns(df, target, {"_q50": 0.5, "_q25": 0.25, "_q75": 0.75}, keys, approx)
     temp = [F.avg("temperature").alias("temperature_mean"), F.max("temperature").alias("temperature_max"),
             F.min("temperature").alias("temperature_min")] if "temperature" in df.columns else []
     main = df.groupBy(*keys).agg(
         F.sum(target).alias("total"), F.avg(target).alias("mean"), F.stddev_samp(target).alias("std"),
-        F.min(target).alias("min"), F.max(target).alias("max"), q.alias("_q"),
+        F.min(target).alias("min"), F.max(target).alias("max"),
         F.avg(F.when(~weekend, F.col(target))).alias("workday_mean"),
         F.avg(F.when(weekend, F.col(target))).alias("weekend_mean"), *temp)
     daily = (df.groupBy(*keys, F.to_date(t).alias("_d")).agg(F.avg(target).alias("_dm"))
                .groupBy(*keys).agg(F.max("_dm").alias("daily_mean_max"), F.min("_dm").alias("daily_mean_min")))
-    j = main.join(daily, keys, "left") if keys else main.crossJoin(daily)
-    return j.select(*keys, "total", "mean", "std", "min", "max", F.col("_q")[0].alias("median"),
-                    F.col("_q")[1].alias("q25"), F.col("_q")[2].alias("q75"), "daily_mean_max",
+    j = main.join(daily, keys, "left").join(q, keys, "left") if keys else main.crossJoin(daily).crossJoin(q)
+    return j.select(*keys, "total", "mean", "std", "min", "max", F.col("_q50").alias("median"),
+                    F.col("_q25").alias("q25"), F.col("_q75").alias("q75"), "daily_mean_max",
                     "daily_mean_min", "workday_mean", "weekend_mean",
                     *[c.alias(n) for c, n in [(F.col(x), x) for x in
                       (["temperature_mean", "temperature_max", "temperature_min"] if temp else [])]])

@@ -108,7 +108,8 @@ def linear_interpolate(df: DataFrame, cols: Sequence[str], time_col: str = "date
                        keys: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
     """Fill nulls linearly by row position between the neighbouring
     non-null values; leading nulls take the next value, trailing nulls the
-    previous one, an all-null column takes its median (null if none)."""
+    previous one.  (A final median fill can only reach a series with no
+    value at all, whose median is null, so it is not computed.)"""
     keys = list(keys)
     lo = o.layout(df, time_col, keys, halo=0, chunk=chunk)
     core = lo.core()
@@ -119,14 +120,12 @@ def linear_interpolate(df: DataFrame, cols: Sequence[str], time_col: str = "date
         pos[c] = "_p_" + c
     core = o.fill_forward(core, list(pos.values()), keys, suffix="_prev")
     core = o.fill_forward(core, list(pos.values()), keys, backward=True, suffix="_next")
-    med = df.groupBy(*keys).agg(*[F.percentile(F.col(c), 0.5).alias("_m_" + c) for c in cols])
-    core = core.join(med, keys, "left") if keys else core.crossJoin(F.broadcast(med))
     for c in cols:
         p, n = F.col(pos[c] + "_prev"), F.col(pos[c] + "_next")
         frac = (F.col(o.IDX) - p["i"]) / (n["i"] - p["i"])
         interp = p["v"] + (n["v"] - p["v"]) * frac
-        core = core.withColumn(c, F.coalesce(F.col(c), interp, p["v"], n["v"], F.col("_m_" + c)))
-    drop = [x for c in cols for x in (pos[c], pos[c] + "_prev", pos[c] + "_next", "_m_" + c)]
+        core = core.withColumn(c, F.coalesce(F.col(c), interp, p["v"], n["v"]))
+    drop = [x for c in cols for x in (pos[c], pos[c] + "_prev", pos[c] + "_next")]
     return core.drop(*drop, o.CHUNK, o.HALO, o.IDX)
 
 
