@@ -293,8 +293,9 @@ SELECT c.datetime, c.row_id, c.feature, c.shap_value, c.feature_value, c.directi
 FROM an JOIN contributions c USING (datetime) WHERE c.shap_value IS NOT NULL QUALIFY rank <= 10""",
                                     ["shap_value", "feature_value", "abs_contribution"]))
 def q_shap_for_ts(spark, sf_dir):
-    a = insight.anomaly_insights(fx.predictions_naive(spark, sf_dir))
-    return round6(jn.shap_for_timestamp(a, fx.contributions_linear(spark, sf_dir)))
+    h = fx.hourly_indexed(spark, sf_dir)
+    a = insight.anomaly_insights(fx.predictions_naive(spark, sf_dir, indexed=h))
+    return round6(jn.shap_for_timestamp(a, fx.contributions_linear(spark, sf_dir, indexed=h)))
 
 
 @register("grid_cross_join", sql(fs.HOURLY + """,

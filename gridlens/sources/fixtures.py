@@ -68,9 +68,9 @@ def hourly_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lags.withColumnRenamed(o.IDX, "row_id")
 
 
-def predictions_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions_naive(spark: SparkSession, sf_dir: str, indexed: DataFrame | None = None) -> DataFrame:
     """Seasonal-naive forecast: ``predicted_load = load 24 rows earlier``."""
-    h = hourly_indexed(spark, sf_dir)
+    h = indexed if indexed is not None else hourly_indexed(spark, sf_dir)
     t = F.col("datetime")
     return h.filter(F.col("load_lag_24h").isNotNull()).select(
         "datetime", F.col("load").alias("actual_load"),
@@ -121,10 +121,11 @@ def requests(spark: SparkSession, sf_dir: str, n: int = 48) -> DataFrame:
         F.col("load").alias("actual_load"))
 
 
-def contributions_linear(spark: SparkSession, sf_dir: str, n: int = 168) -> DataFrame:
+def contributions_linear(spark: SparkSession, sf_dir: str, n: int = 168,
+                         indexed: DataFrame | None = None) -> DataFrame:
     """Long contributions of a linear model on the last ``n`` hours:
     ``shap_value = w_f * (x_f - mean(x_f))``."""
-    h = hourly_indexed(spark, sf_dir)
+    h = indexed if indexed is not None else hourly_indexed(spark, sf_dir)
     t = F.col("datetime")
     last = win.tail_n(h, n).withColumns({"hour": F.hour(t).cast("double"),
                                          "day_of_week": F.weekday(t).cast("double")})
@@ -147,8 +148,8 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long ``(method, feature, score)`` for four methods, derived from the
     linear contributions: SHAP = mean |phi|, LIME = |w| * std, Gain = |corr(x, load)|,
     Permutation = w^2 * var."""
-    c = contributions_linear(spark, sf_dir)
     h = hourly_indexed(spark, sf_dir)
+    c = contributions_linear(spark, sf_dir, indexed=h)
     weights = F.broadcast(spark.createDataFrame(list(LINEAR_WEIGHTS.items()), "feature string, w double"))
     stats = (c.groupBy("feature").agg(F.avg("abs_contribution").alias("shap"),
                                       F.stddev_pop("feature_value").alias("sd"))
