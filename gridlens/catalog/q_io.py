@@ -104,7 +104,7 @@ def q_fill_absent(spark, sf_dir):
 @register("feature_vector")
 def q_feature_vector(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
-    fe = feat.create_features(std.standardize_columns(fx.hourly(spark, sf_dir)))
+    fe = feat.create_features(std.standardize_columns(_pin6(fx.hourly(spark, sf_dir))))
     va = VectorAssembler(inputCols=feat.FEATURES, outputCol="vec", handleInvalid="error")
     v = va.transform(fe).select("datetime", vector_to_array("vec").alias("a"))
     return round6(v.select("datetime", F.size("a").alias("n_features"),
