@@ -323,7 +323,9 @@ def q_base_calendar(spark, sf_dir):
 SELECT * FROM hourly WHERE datetime >= TIMESTAMP '2024-01-08 00:00:00' AND datetime <= TIMESTAMP '2024-01-15 00:00:00'""",
                               ["load", "temperature", "humidity"]))
 def q_range_filter(spark, sf_dir):
-    return round6(std.range_filter(fx.hourly(spark, sf_dir), "2024-01-08", "2024-01-15"))
+    # bounds pushed to the parquet scan; the operator keeps the exact rule
+    h = fx.hourly(spark, sf_dir, start="2024-01-08 00:00:00", end="2024-01-15 00:00:00")
+    return round6(std.range_filter(h, "2024-01-08", "2024-01-15"))
 
 
 @register("latest_features", sql(fs.HOURLY_KEYED, """

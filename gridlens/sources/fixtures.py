@@ -27,9 +27,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events", ["ts", "event_type", "value", "props"])
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(datetime, load, temperature, humidity)`` — one row per hour."""
-    return parquet_series_scan(events(spark, sf_dir), "ts", "value", extra=event_weather_aggs())
+def hourly(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``(datetime, load, temperature, humidity)`` — one row per hour
+    (optionally only the hours ``start .. end``, pushed to the scan)."""
+    return parquet_series_scan(events(spark, sf_dir), "ts", "value", extra=event_weather_aggs(),
+                               start=start, end=end)
 
 
 def hourly_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,11 +19,18 @@ def hour_bucket(ts: Column | str, unit: str = "hour") -> Column:
 
 def parquet_series_scan(df: DataFrame, ts_col: str, value_col: str,
                         keys: Sequence[str] = (), unit: str = "hour",
-                        extra: dict[str, Column] | None = None) -> DataFrame:
+                        extra: dict[str, Column] | None = None,
+                        start: str | None = None, end: str | None = None) -> DataFrame:
     """Aggregate an event table into a regular series ``(keys, datetime, load, ...)``.
 
     One hash shuffle on ``(keys, bucket)`` with map-side partial aggregation,
-    so a hot key is pre-aggregated before it is shuffled."""
+    so a hot key is pre-aggregated before it is shuffled.  ``start`` / ``end``
+    (bucket stamps, inclusive) become plain predicates on the raw time
+    column, so the parquet reader skips row groups outside the range."""
+    if start is not None:
+        df = df.filter(F.col(ts_col) >= F.to_timestamp_ntz(F.lit(start)))
+    if end is not None:
+        df = df.filter(F.col(ts_col) < F.to_timestamp_ntz(F.lit(end)) + F.expr(f"INTERVAL 1 {unit.upper()}"))
     aggs = [F.sum(value_col).alias("load")]
     aggs += [v.alias(k) for k, v in (extra or {}).items()]
     return (df.groupBy(*keys, hour_bucket(ts_col, unit).alias("datetime"))
