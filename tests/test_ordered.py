@@ -95,3 +95,22 @@ def test_running_sum_carry(spark):
     core = lo.core().withColumn("one", F.lit(1))
     r = o.running_sum(core, "one", "cnt").toPandas().sort_values(o.IDX)
     assert list(r["cnt"]) == list(range(1, len(r) + 1))
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    """Distributed quantiles equal pandas' linear quantiles, also when one
+    value holds a third of the rows."""
+    import numpy as np
+    from gridlens.plans.quantiles import quantiles
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(size=400), np.full(200, 0.25)])
+    keys = np.where(np.arange(600) % 3 == 0, "a", "b")
+    df = spark.createDataFrame([(str(k), float(v)) for k, v in zip(keys, vals)], "k string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(df, "v", probs, ["k"]).toPandas()
+    p = pd.DataFrame({"k": keys, "v": vals})
+    for k, g in p.groupby("k"):
+        for q in probs:
+            exp = g["v"].quantile(q)
+            val = got[(got["k"] == k) & (got["prob"] == q)]["quantile"].iloc[0]
+            assert abs(val - exp) < 1e-12
