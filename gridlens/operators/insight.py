@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gridlens.functions.stats import safe_corr
 
 from ..plans import ordered as o
-from .windows import pct_change_expr
 
 # ---- fixed values ---------------------------------------------------------
 ANOMALY_THRESHOLD = 0.15

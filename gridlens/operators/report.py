@@ -3,8 +3,6 @@ and explanation text, prompts, insight summaries, report sections."""
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
