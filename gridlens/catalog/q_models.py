@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import explain as X
@@ -345,9 +346,13 @@ def q_explanation_report(spark, sf_dir):
     tm = trained(spark, sf_dir)
     te = M.predict_batch(tm, _test(spark, sf_dir))
     contrib = _shap(spark, sf_dir).join(te.select("row_id"), "row_id")
-    top = contrib.filter(F.col("rank") <= 5).groupBy("row_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]),
-                     ",").alias("top_features"))
+    def _top5(cond, name):
+        w = Window.partitionBy("row_id").orderBy(F.abs("shap_value").desc(), F.col("feature"))
+        t = contrib.filter(cond).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= 5)
+        return t.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("_k", "feature"))), lambda x: x["feature"]), ",").alias(name))
+    top = _top5(F.lit(True), "top_features").join(_top5(F.col("shap_value") > 0, "top_positive"), "row_id", "left") \
+        .join(_top5(F.col("shap_value") < 0, "top_negative"), "row_id", "left")
     summ = rep.contribution_summary(contrib)
     p = te.select("row_id", "datetime", F.col("predicted_load").alias("prediction"), "temperature", "hour",
                   "day_of_week", "is_workday", "load_lag_1h")
@@ -355,33 +360,47 @@ def q_explanation_report(spark, sf_dir):
     return round6(p.join(top, "row_id").join(summ, "row_id").join(text, "row_id"))
 
 
-@register("period_pair_explain")
-def q_period_pair(spark, sf_dir):
-    """Each test hour against the same hour one day earlier: prediction
-    change, top drivers / reducers and the pair text."""
+def _pair_explain(spark, sf_dir, offset_hours):
     tm = trained(spark, sf_dir)
     fe = feature_table(spark, sf_dir)
     preds = M.predict_batch(tm, fe).select("row_id", "datetime", "predicted_load", "temperature", "is_workday")
     contrib = _shap(spark, sf_dir)
     test_ids = _test(spark, sf_dir).select("row_id")
-    pairs = cmp.offset_pairs(preds.select("row_id", "datetime"), 24).join(
+    pairs = cmp.offset_pairs(preds.select("row_id", "datetime"), offset_hours).join(
         test_ids.withColumnRenamed("row_id", "row2"), "row2")
     changes = cmp.feature_change(contrib, pairs)
     factors = cmp.key_factors(changes)
+    top10 = changes.filter(F.col("rank") <= 10).groupBy("pair_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), ",").alias("top_changes"))
     p1 = preds.select(F.col("row_id").alias("row1"), F.col("predicted_load").alias("prediction1"),
                       F.col("temperature").alias("temperature1"), F.col("is_workday").alias("is_workday1"))
     p2 = preds.select(F.col("row_id").alias("row2"), F.col("predicted_load").alias("prediction2"),
                       F.col("temperature").alias("temperature2"), F.col("is_workday").alias("is_workday2"))
-    j = pairs.join(p1, "row1").join(p2, "row2").join(factors, "pair_id", "left").withColumns({
-        "key_drivers": F.coalesce("key_drivers", F.array().cast("array<string>")),
-        "key_reducers": F.coalesce("key_reducers", F.array().cast("array<string>"))})
-    out = j.select("pair_id", "row1", "row2", "prediction1", "prediction2",
-                   F.round(F.col("prediction2") - F.col("prediction1"), 2).alias("prediction_diff"),
+    j = pairs.join(p1, "row1").join(p2, "row2").join(factors, "pair_id", "left").join(top10, "pair_id", "left") \
+        .withColumns({"key_drivers": F.coalesce("key_drivers", F.array().cast("array<string>")),
+                      "key_reducers": F.coalesce("key_reducers", F.array().cast("array<string>"))})
+    d = F.col("prediction2") - F.col("prediction1")
+    out = j.select("pair_id", "row1", "row2", "prediction1", "prediction2", F.round(d, 2).alias("prediction_diff"),
+                   F.coalesce(F.round(F.try_divide(d, F.col("prediction1")) * 100, 2), F.lit(0.0))
+                   .alias("prediction_diff_pct"), "top_changes",
                    F.array_join("key_drivers", ",").alias("key_drivers"),
                    F.array_join("key_reducers", ",").alias("key_reducers"), rep.pair_text(j).alias("explanation"))
     return round6(out)
 
 
+@register("period_pair_explain")
+def q_period_pair(spark, sf_dir):
+    """Each test hour against the same hour one day earlier: prediction
+    change, top 10 changed features, drivers / reducers and the pair text."""
+    return _pair_explain(spark, sf_dir, 24)
+
+
+@register("period_pair_explain_last_week")
+def q_period_pair_week(spark, sf_dir):
+    """The same against the same hour one week earlier."""
+    return _pair_explain(spark, sf_dir, 168)
+
+
 # ------------------------------------------------------------------ flagships
 @register("insights_bundle")
 def q_insights_bundle(spark, sf_dir):
