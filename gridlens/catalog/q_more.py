@@ -115,3 +115,21 @@ _PATS = ("SELECT 'pattern:' || p, CAST(k AS VARCHAR), m, v FROM (SELECT CASE WHE
 ORACLE["data_profile"] = (
     f"WITH {fs.HOURLY_NULLS.strip()}, r(section, name, metric, value) AS ({_INFO} UNION ALL {_MISSP} UNION ALL {_DIST} UNION ALL {_PATS}) "
     "SELECT section, name, metric, CASE WHEN round(value, 6) = 0 THEN 0.0 ELSE round(value, 6) END AS value FROM r")
+
+_PRED = fs.PRED
+ORACLE["template_summary"] = f"""WITH {_PRED.strip()},
+st AS (SELECT min(datetime) AS s, max(datetime) AS e, count(*) AS n, avg(load) AS mean, max(load) AS mx FROM hourly),
+acc AS (SELECT avg(abs(actual_load - predicted_load) / abs(CASE WHEN actual_load = 0 THEN 1 ELSE actual_load END) * 100) AS mape,
+               CASE WHEN sum((actual_load - (SELECT avg(actual_load) FROM pred)) ^ 2) = 0 THEN 0.0
+                    ELSE 1 - sum((actual_load - predicted_load) ^ 2) / sum((actual_load - (SELECT avg(actual_load) FROM pred)) ^ 2) END AS r2
+        FROM pred),
+an AS (SELECT count(*) AS n_anomalies,
+              count(*) FILTER (WHERE abs(actual_load - predicted_load) / predicted_load * 100 > 30) AS n_high
+       FROM pred WHERE predicted_load <> 0 AND abs(actual_load - predicted_load) / predicted_load * 100 > 15)
+SELECT concat_ws(' ',
+  printf('This report covers %s to %s with %d records.', CAST(st.s AS VARCHAR), CAST(st.e AS VARCHAR), st.n),
+  printf('Mean load was %.2f MW with a peak of %.2f MW.', st.mean, st.mx),
+  printf('The forecast''s mean absolute percentage error is %.1f%%, R2 %.3f.', acc.mape, coalesce(acc.r2, 0.0)),
+  CASE WHEN an.n_anomalies > 0 THEN printf('%d anomalies were detected, %d of them need attention.', an.n_anomalies, an.n_high) END
+) AS summary
+FROM st, acc, an"""
