@@ -153,14 +153,14 @@ def q_eval_text(spark, sf_dir):
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     fe = feature_table(spark, sf_dir).drop("row_id", "split")
-    return round6(M.cross_validate(fe, FEATURES, n_splits=3, **QUERY_MODEL))
+    return round6(M.cross_validate(fe, FEATURES, n_splits=5, **QUERY_MODEL))
 
 
 def _cv_avg(spark, sf_dir):
     key = ("cv", sf_dir, id(spark))
     if key not in _CACHE:
         fe = feature_table(spark, sf_dir).drop("row_id", "split")
-        cv = M.cross_validate(fe, FEATURES, n_splits=3, **QUERY_MODEL)
+        cv = M.cross_validate(fe, FEATURES, n_splits=5, **QUERY_MODEL)
         _CACHE[key] = met.cv_average(cv).cache()
     return _CACHE[key]
 
@@ -263,7 +263,7 @@ def q_friedman_h(spark, sf_dir):
 @register("all_interactions")
 def q_all_interactions(spark, sf_dir):
     tm = trained(spark, sf_dir)
-    return round6(X.all_interactions(tm.point, _test(spark, sf_dir), FEATURES, _shap(spark, sf_dir), top_n=4))
+    return round6(X.all_interactions(tm.point, _test(spark, sf_dir), FEATURES, _shap(spark, sf_dir), top_n=10))
 
 
 @register("lime_explain")
@@ -271,7 +271,7 @@ def q_lime(spark, sf_dir):
     tm = trained(spark, sf_dir)
     fe = feature_table(spark, sf_dir)
     rows = _test(spark, sf_dir)
-    return round6(X.lime_explain(tm.point, fe, FEATURES, rows, n_samples=200))
+    return round6(X.lime_explain(tm.point, fe, FEATURES, rows))
 
 
 @register("pdp_1d")
@@ -283,18 +283,18 @@ def q_pdp_1d(spark, sf_dir):
 @register("pdp_2d")
 def q_pdp_2d(spark, sf_dir):
     tm = trained(spark, sf_dir)
-    return round6(X.pdp_2d(tm.point, feature_table(spark, sf_dir), "temperature", "hour", n_grid=10, sample=100))
+    return round6(X.pdp_2d(tm.point, feature_table(spark, sf_dir), "temperature", "hour"))
 
 
 @register("pdp_ci")
 def q_pdp_ci(spark, sf_dir):
     tm = trained(spark, sf_dir)
-    return round6(X.pdp_ci(tm.point, feature_table(spark, sf_dir), "temperature", n_grid=20))
+    return round6(X.pdp_ci(tm.point, feature_table(spark, sf_dir), "temperature"))
 
 
 def _ice(spark, sf_dir):
     tm = trained(spark, sf_dir)
-    return X.ice(tm.point, feature_table(spark, sf_dir), "temperature", n_grid=20)
+    return X.ice(tm.point, feature_table(spark, sf_dir), "temperature")
 
 
 @register("ice")
@@ -315,7 +315,7 @@ def q_ice_centered(spark, sf_dir):
 @register("ice_decile")
 def q_ice_decile(spark, sf_dir):
     tm = trained(spark, sf_dir)
-    return round6(X.ice_decile(tm.point, feature_table(spark, sf_dir), "temperature", n_grid=20))
+    return round6(X.ice_decile(tm.point, feature_table(spark, sf_dir), "temperature"))
 
 
 @register("xai_rank_compare_model")
@@ -326,12 +326,12 @@ def q_xai_model(spark, sf_dir):
     fe = feature_table(spark, sf_dir)
     shap = X.shap_global(_shap(spark, sf_dir)).select(F.lit("SHAP").alias("method"), "feature",
                                                       F.col("mean_abs_shap").alias("score"))
-    lime = X.lime_explain(tm.point, fe, FEATURES, _test(spark, sf_dir), n_samples=200, top=len(FEATURES)) \
+    lime = X.lime_explain(tm.point, fe, FEATURES, _test(spark, sf_dir), top=len(FEATURES)) \
             .groupBy("feature").agg(F.avg(F.abs("weight")).alias("score")).select(F.lit("LIME").alias("method"),
                                                                                   "feature", "score")
     gain = M.feature_importance(tm.point, FEATURES).select(F.lit("Gain").alias("method"), "feature",
                                                            F.col("importance").alias("score"))
-    perm = X.permutation_importance(tm.point, fe, FEATURES[:8]).select(F.lit("Permutation").alias("method"),
+    perm = X.permutation_importance(tm.point, fe, FEATURES).select(F.lit("Permutation").alias("method"),
                                                                        "feature", "score")
     imp = shap.unionByName(lime).unionByName(gain).unionByName(perm)
     from ..operators import joins as jn

@@ -331,9 +331,9 @@ def pdp_1d(pm: PipelineModel, df: DataFrame, feature: str, n_grid: int = P.PDP_G
 
 
 def pdp_2d(pm: PipelineModel, df: DataFrame, f1: str, f2: str, n_grid: int = P.PDP_GRID_2D,
-           sample: int | None = 100, key_cols: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Mean prediction on an ``n x n`` grid of two features (rows sampled
-    deterministically by key hash when ``sample``)."""
+           sample: int | None = None, key_cols: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Mean prediction over all rows on an ``n x n`` grid of two features
+    (optionally a deterministic key-hash sample of rows)."""
     rows = rk.sample_n(df, sample, key_cols) if sample else df
     g1 = feature_grid(df, f1, n_grid, "v1").withColumnRenamed("grid_index", "i1")
     g2 = feature_grid(df, f2, n_grid, "v2").withColumnRenamed("grid_index", "i2")
