@@ -478,7 +478,8 @@ def q_bootstrap(spark, sf_dir):
 @register("feature_set_union", sql(fs.CONTRIB, "SELECT DISTINCT feature FROM contributions"))
 def q_feature_set_union(spark, sf_dir):
     c = fx.contributions_linear(spark, sf_dir)
-    return rk.feature_set_union(c.filter(F.col("row_id") % 2 == 0), c.filter(F.col("row_id") % 2 == 1))
+    # union of the features that push up and those that push down
+    return rk.feature_set_union(c.filter(F.col("shap_value") > 0), c.filter(F.col("shap_value") <= 0))
 
 
 @register("cv_average", sql(fs.HOURLY + """,
