@@ -51,12 +51,12 @@ def with_row_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()
 
     Order columns should be unique inside a series for a deterministic
     result (time stamps of a regular series are)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     sort_cols = keys + list(order)
-    ranged = (df.repartitionByRange(n, *sort_cols)
-                .sortWithinPartitions(*sort_cols)
+    # without an explicit count AQE may merge adjacent ranges to its target
+    # size (order is kept: merged partitions are consecutive key ranges)
+    ranged = df.repartitionByRange(partitions, *sort_cols) if partitions else df.repartitionByRange(*sort_cols)
+    ranged = (ranged.sortWithinPartitions(*sort_cols)
                 .withColumn(_PID, F.spark_partition_id())
                 .withColumn(_MID, F.monotonically_increasing_id()))
     if checkpoint:
