@@ -110,3 +110,18 @@ def test_validation_statuses(spark):
     assert r[("ranges", "load")] == "error"
     assert r[("missing", "load")] == "error"        # 25 % > 10 %
     assert r[("columns", "temperature")] == "error"
+
+
+def test_sampling_independent_of_partitioning(spark):
+    from conftest import SF01
+    from gridlens.sources import fixtures as fx
+    h = fx.hourly(spark, SF01)
+    a = {r["datetime"] for r in rk.sample_n(h.repartition(3), 50, ["datetime"]).collect()}
+    b = {r["datetime"] for r in rk.sample_n(h.repartition(17, "load"), 50, ["datetime"]).collect()}
+    assert a == b and len(a) == 50
+    w1 = rk.bootstrap_weights(h.repartition(2), "datetime", 4).groupBy("replicate").agg(F.sum("weight")).collect()
+    w2 = rk.bootstrap_weights(h.repartition(11), "datetime", 4).groupBy("replicate").agg(F.sum("weight")).collect()
+    assert sorted(map(tuple, w1)) == sorted(map(tuple, w2))
+    # Poisson(1) weights: mean close to 1 over 720 rows x 4 replicates
+    mean_w = rk.bootstrap_weights(h, "datetime", 4).agg(F.avg("weight")).first()[0]
+    assert 0.85 < mean_w < 1.15
