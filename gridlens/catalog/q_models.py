@@ -217,8 +217,10 @@ def _shap(spark, sf_dir):
     key = ("shap", sf_dir, id(spark))
     if key not in _CACHE:
         tm = trained(spark, sf_dir)
-        _CACHE[key] = X.tree_shap_table(tm.point, feature_table(spark, sf_dir), FEATURES,
-                                        trees=_trees(spark, sf_dir))
+        # the SHAP table feeds several joins: write it once (reliable checkpoint)
+        from ..session import cut_lineage
+        _CACHE[key] = cut_lineage(X.tree_shap_table(tm.point, feature_table(spark, sf_dir), FEATURES,
+                                                    trees=_trees(spark, sf_dir)))
     return _CACHE[key]
 
 
@@ -333,7 +335,9 @@ def q_xai_model(spark, sf_dir):
                                                            F.col("importance").alias("score"))
     perm = X.permutation_importance(tm.point, fe, FEATURES).select(F.lit("Permutation").alias("method"),
                                                                        "feature", "score")
-    imp = shap.unionByName(lime).unionByName(gain).unionByName(perm)
+    # methods x features rows, read three times below: materialise once
+    from ..session import cut_lineage
+    imp = cut_lineage(shap.unionByName(lime).unionByName(gain).unionByName(perm))
     from ..operators import joins as jn
     ranks = jn.importance_union(imp)
     return round6(met.xai_rank_compare(ranks))

@@ -464,20 +464,24 @@ def permutation_importance(pm: PipelineModel, df: DataFrame, features: Sequence[
                            key_col: str = "row_id", seed: int = P.SEED) -> DataFrame:
     """Increase of MAE when one feature's values are permuted across rows.
 
-    The permutation pairs position ``i`` in key order with position ``i`` in
-    seeded-hash order; both positions come from the distributed row index
-    (range partitioning), so no step funnels the table into one task."""
+    One seeded permutation (position ``i`` in key order paired with position
+    ``i`` in hash order, both from the distributed row index) gives every
+    row a partner; each feature's variant takes that feature from the
+    partner.  All variants are scored in one ``transform`` + one grouped
+    aggregate."""
     from ..plans import ordered as o
+    feats = list(features)
+    pos = o.with_row_index(df.select(key_col), [key_col]).withColumnRenamed(o.IDX, "_pos")
+    src = df.select(F.col(key_col).alias("_pk"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"))
+    perm = o.with_row_index(src, ["_h", "_pk"]).select("_pk", F.col(o.IDX).alias("_pos"))
+    partner = pos.join(perm, "_pos").select(key_col, "_pk")
+    pvals = df.select(F.col(key_col).alias("_pk"), *[F.col(f).alias("_p_" + f) for f in feats])
+    rows = df.join(partner, key_col).join(pvals, "_pk")
     base = pm.transform(df).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("_mae0"))
-    pos = o.with_row_index(df, [key_col]).withColumnRenamed(o.IDX, "_pos")
-    parts = []
-    for f in features:
-        src = df.select(F.col(f).alias("_sh"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"), key_col)
-        sh = o.with_row_index(src, ["_h", key_col]).select("_sh", F.col(o.IDX).alias("_pos"))
-        shuf = pos.join(sh, "_pos").withColumn(f, F.col("_sh")).drop("_sh", "_pos")
-        mae = pm.transform(shuf).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("_mae"))
-        parts.append(mae.select(F.lit(f).alias("feature"), "_mae"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.crossJoin(base).select("feature", (F.col("_mae") - F.col("_mae0")).alias("score"))
+    variants = None
+    for f in feats:
+        v = rows.withColumn(f, F.col("_p_" + f)).withColumn("feature", F.lit(f))
+        variants = v if variants is None else variants.unionByName(v)
+    scored = pm.transform(variants.drop(*["_p_" + f for f in feats], "_pk"))
+    mae = scored.groupBy("feature").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("_mae"))
+    return mae.crossJoin(F.broadcast(base)).select("feature", (F.col("_mae") - F.col("_mae0")).alias("score"))

@@ -157,7 +157,8 @@ def importance_union(imp: DataFrame, method_col: str = "method", feature_col: st
                      score_col: str = "score") -> DataFrame:
     """Every (method, feature) over the union of features: rank by score
     desc (ties by feature name) within the method; a feature the method did
-    not score gets score 0 and rank = number of features."""
+    not score gets score 0 and rank = number of features.  ``imp`` is read
+    three times: materialise it first when it is expensive to compute."""
     feats = imp.select(feature_col).distinct()
     methods = imp.select(method_col).distinct()
     n = feats.agg(F.count(F.lit(1)).alias("_nf"))
