@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
+from .fingerprints import fingerprint_edits
 from .frames import table
+from .license_scan import license_scan
 from .registry import register
 from .token_counts import token_counts
 
 
+@register("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @register("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(registry.QUERIES)
 
