@@ -10,6 +10,7 @@ from .frames import table
 from .license_scan import license_scan
 from .registry import register
 from .token_counts import token_counts
+from .url_filter import url_filter
 
 
 @register("op1_license_scan")
@@ -17,6 +18,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+@register("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 @register("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
