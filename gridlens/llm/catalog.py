@@ -8,7 +8,9 @@ from . import registry
 from .fingerprints import fingerprint_edits
 from .frames import table
 from .license_scan import license_scan
+from .mixing import mix_counts
 from .registry import register
+from .sharding import shard, shard_sql
 from .token_counts import token_counts
 from .url_filter import url_filter
 
@@ -23,6 +25,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+SHARD_BYTES = 1 << 20
+
+
+@register("op3_sharding", shard_sql(SHARD_BYTES))
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), SHARD_BYTES, columns=["doc_id"])
+
+
 @register("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -34,6 +44,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@register("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(registry.QUERIES)
 
