@@ -9,6 +9,7 @@ from .fingerprints import fingerprint_edits
 from .frames import table
 from .license_scan import license_scan
 from .mixing import mix_counts
+from .quality import quality_scores
 from .registry import register
 from .sharding import shard, shard_sql
 from .token_counts import token_counts
@@ -39,6 +40,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("text_hash")
+
+
 @register("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
