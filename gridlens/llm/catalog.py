@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
+from .decontaminate import benchmark_hits
 from .fingerprints import fingerprint_edits
 from .frames import table
 from .license_scan import license_scan
@@ -46,6 +47,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text_hash")
 
 
+@register("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
