@@ -10,6 +10,7 @@ from .fingerprints import fingerprint_edits
 from .frames import table
 from .license_scan import license_scan
 from .mixing import mix_counts
+from .parity_join import similarity_components
 from .quality import quality_scores
 from .registry import register
 from .sharding import shard, shard_sql
@@ -35,6 +36,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARD_BYTES, columns=["doc_id"])
 
 
+@register("op4_ngram_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 @register("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

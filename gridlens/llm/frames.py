@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,28 @@ from pyspark.sql import functions as F
 
 from gridlens.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "id_text", "per_batch", "table", "partitions"]
+__all__ = ["Tables", "cut_lineage", "id_text", "partitions", "per_batch", "table", "words_count"]
+
+
+class Tables:
+    """Intermediate tables of one operator, written to the shared checkpoint folder.
+
+    For iterative plans: a checkpoint keeps its plan's partitionings and orderings, and
+    where joins of checkpoints are checkpointed again and again, these double each time.
+    A table read back has none, and is compressed.  ``clear`` deletes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.base}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
