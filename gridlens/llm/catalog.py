@@ -13,6 +13,7 @@ from .mixing import mix_counts
 from .parity_join import similarity_components
 from .quality import quality_scores
 from .registry import register
+from .repeated_spans import removed_spans
 from .sharding import shard, shard_sql
 from .token_counts import token_counts
 from .url_filter import url_filter
@@ -53,6 +54,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text_hash")
 
 
+@register("op7_repeated_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_spans(table(spark, sf_dir, "documents")).drop("ranges")
+
+
 @register("op8_decontaminate")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
