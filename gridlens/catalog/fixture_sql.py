@@ -92,16 +92,16 @@ requests AS (
   SELECT datetime, CAST(hour(datetime) AS INTEGER) AS hour, CAST(isodow(datetime) - 1 AS INTEGER) AS day_of_week,
          temperature, humidity, {holiday_sql('datetime')} AS is_holiday, {season_sql('datetime')} AS season,
          load_lag_1h, load_lag_24h, load_lag_168h, load AS actual_load
-  FROM hourly_idx ORDER BY datetime DESC LIMIT 48)"""
+  FROM hourly_idx)"""
 
 _W = ", ".join(f"('{k}', {v})" for k, v in LINEAR_WEIGHTS.items())
 _FEATS = " UNION ALL ".join(
-    f"SELECT row_id, datetime, '{f}' AS feature, CAST({f} AS DOUBLE) AS feature_value FROM last168"
+    f"SELECT row_id, datetime, '{f}' AS feature, CAST({f} AS DOUBLE) AS feature_value FROM every_hour"
     for f in LINEAR_WEIGHTS)
 CONTRIB = HOURLY_IDX + f""",
-last168 AS (
+every_hour AS (
   SELECT *, CAST(hour(datetime) AS DOUBLE) AS hour, CAST(isodow(datetime) - 1 AS DOUBLE) AS day_of_week
-  FROM hourly_idx ORDER BY datetime DESC LIMIT 168),
+  FROM hourly_idx),
 c_long AS ({_FEATS}),
 c_w(feature, w) AS (VALUES {_W}),
 contrib AS (

@@ -414,6 +414,23 @@ def q_lag_features(spark, sf_dir):
     return round6(win.lag_features(h).select("datetime", *_LAG_COLS))
 
 
+_GAP_ROWS = """
+gaps AS (
+  SELECT datetime, CASE WHEN day(datetime) IN (5, 6) OR day(datetime) BETWEEN 12 AND 19 THEN NULL ELSE load END AS load FROM hourly),
+padded AS (
+  SELECT *, last_value(load IGNORE NULLS) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS pad FROM gaps)"""
+
+
+@register("lag_features_gaps", sql(fs.HOURLY + "," + _GAP_ROWS, f"""
+SELECT datetime, load, lag(load, 24) OVER w AS load_lag_24h,
+  {_pct('pad', 'lag(pad, 1) OVER w')} AS load_change_1h, {_pct('pad', 'lag(pad, 24) OVER w')} AS load_change_24h,
+  avg(load) OVER (ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS load_ma_24h
+FROM padded WINDOW w AS (ORDER BY datetime)""", ["load", "load_lag_24h", "load_change_1h", "load_change_24h", "load_ma_24h"]))
+def q_lag_features_gaps(spark, sf_dir):
+    out = win.lag_features(fx.hourly_gaps(spark, sf_dir), chunk=200)
+    return round6(out.select("datetime", "load", "load_lag_24h", "load_change_1h", "load_change_24h", "load_ma_24h"))
+
+
 @register("pct_change", sql(fs.HOURLY_KEYED, f"""
 SELECT event_type, datetime,
   {_pct('load', 'lag(load, 1) OVER w')} AS load_change_1h,
@@ -512,11 +529,23 @@ trends AS (
 _TREND_COLS = ["start_value", "end_value", "change_absolute", "change_rate", "confidence"]
 
 
-@register("trend_runs", sql(_TREND_SQL, """
+@register("trend_runs", sql(_TREND_SQL.replace("duration >= 6", "duration >= 2"), """
 SELECT *, least(1.0, duration / 24 * 0.5 + abs(change_rate) * 5) AS confidence FROM trends""", _TREND_COLS))
 def q_trend_runs(spark, sf_dir):
     h = fx.hourly(spark, sf_dir).select("datetime", "load")
-    return round6(insight.trend_runs(h, min_duration=6))
+    return round6(insight.trend_runs(h, min_duration=2))
+
+
+_TREND_GAPS_SQL = (fs.HOURLY + "," + _GAP_ROWS + _TREND_SQL[_TREND_SQL.index(",\nt0 AS"):]
+                   .replace("lag(load) OVER (ORDER BY datetime) AS prev FROM hourly)", "lag(pad) OVER (ORDER BY datetime) AS prev, pad FROM padded)")
+                   .replace("prev = 0 AND load", "prev = 0 AND pad").replace("load / nullif(prev, 0)", "pad / nullif(prev, 0)")
+                   .replace("duration >= 6", "duration >= 2"))
+
+
+@register("trend_runs_gaps", sql(_TREND_GAPS_SQL, """
+SELECT *, least(1.0, duration / 24 * 0.5 + abs(change_rate) * 5) AS confidence FROM trends""", _TREND_COLS))
+def q_trend_runs_gaps(spark, sf_dir):
+    return round6(insight.trend_runs(fx.hourly_gaps(spark, sf_dir), min_duration=2, chunk=50))
 
 
 _GAPS_SQL = fs.HOURLY_KEYED + """,

@@ -362,8 +362,8 @@ def pdp_ci(pm: PipelineModel, df: DataFrame, feature: str, key_col: str = "row_i
 
 
 def ice(pm: PipelineModel, df: DataFrame, feature: str, key_col: str = "row_id", n_grid: int = P.ICE_GRID,
-        sample: int | None = P.ICE_SAMPLES, seed: int = P.SEED) -> DataFrame:
-    """Individual curves: each sampled row's prediction at every grid value."""
+        sample: int | None = None, seed: int = P.SEED) -> DataFrame:
+    """Individual curves: each row's prediction at every grid value (``sample``: of that many rows only)."""
     rows = rk.sample_n(df, sample, [key_col], seed) if sample else df
     grid = feature_grid(df, feature, n_grid)
     return _predict_on_grid(pm, rows, feature, grid).select(key_col, "grid_index", "grid_value", "prediction")

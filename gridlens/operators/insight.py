@@ -108,22 +108,21 @@ def trend_runs(df: DataFrame, value_col: str = "load", time_col: str = "datetime
     """Maximal runs of equal direction of the step-wise percentage change.
 
     Direction per row: change > thr increasing, < -thr decreasing, else
-    stable; rows without a change are skipped and do not break a run.  Runs
-    of at least ``min_duration`` rows are returned with their first and last
+    stable.  Changes compare padded values: a null takes the last value,
+    however old, so a null row has change 0, counts as stable and ends a
+    rising or falling run; rows before the first value have no change and
+    are skipped.  Runs of at least ``min_duration`` rows are returned with their first and last
     row's value.  Gaps-and-islands on the chunked layout: the previous
     non-null direction comes from an exact carried forward-fill, the run id
     is an exact carried running sum — no task ever holds a whole series."""
     keys = list(keys)
-    lo = o.layout(df, time_col, keys, halo=24, chunk=chunk)
-    w = lo.window
-    v = F.col(value_col)
-    # previous value padded over nulls (pandas pct_change pads first)
-    prev_v = F.last(v, ignorenulls=True).over(w.rowsBetween(-lo.halo, -1))
-    inf = F.lit(float("inf"))
-    rate = (F.when((prev_v == 0) & (v > 0), inf).when((prev_v == 0) & (v < 0), -inf)
-             .otherwise(F.try_divide(v, prev_v) - 1))
-    step = lo.df.withColumn("_rate", F.when(prev_v.isNotNull() & v.isNotNull(), rate))
-    step = lo.finish(step, keep_index=True)
+    lo = o.padded_layout(df, value_col, "_pad", 1, time_col, keys, chunk)
+    v, cur = F.col(value_col), F.col("_pad")
+    step = lo.df.withColumn("_prev", F.lag("_pad", 1).over(lo.window))
+    prev_v, inf = F.col("_prev"), F.lit(float("inf"))
+    rate = (F.when((prev_v == 0) & (cur > 0), inf).when((prev_v == 0) & (cur < 0), -inf)
+             .otherwise(F.try_divide(cur, prev_v) - 1))
+    step = lo.finish(step.withColumn("_rate", rate), keep_index=True)
     dir_ = (F.when(F.col("_rate") > threshold, "increasing")
              .when(F.col("_rate") < -threshold, "decreasing")
              .when(F.col("_rate").isNotNull(), "stable"))

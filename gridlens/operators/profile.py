@@ -224,9 +224,9 @@ def resample_mean(df: DataFrame, unit: str = "day", time_col: str = "datetime",
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
                        exclude: Sequence[str] = ("predicted_load", "lower_bound", "upper_bound"),
-                       max_cols: int = 10) -> DataFrame:
-    """Pearson correlation (pairwise-complete) for the first ``max_cols``
-    numeric columns: one aggregate with every pair, unpivoted."""
+                       max_cols: int | None = None) -> DataFrame:
+    """Pearson correlation (pairwise-complete) of all numeric columns (the first
+    ``max_cols``, if given): one aggregate with every pair, unpivoted."""
     cols = list(columns or [c for c in _numeric_cols(df) if c not in set(exclude)][:max_cols])
     pairs = [(a, b) for a in cols for b in cols]
     wide = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])

@@ -44,15 +44,12 @@ def lag_features(df: DataFrame, value_col: str = "load", time_col: str = "dateti
     ``load_change_1h/24h`` (pct change on the forward-filled value),
     ``load_ma_3h/24h`` (trailing mean incl. the current row unless
     ``leak_free``)."""
-    lo = _lead_lag_frame(df, time_col, keys, 168, chunk, indexed)
+    # the change rates compare padded values (nulls take the last value, however old)
+    lo = o.padded_layout(df, value_col, "_pad", 168, time_col, keys, chunk, indexed)
     w = lo.window
     v = F.col(value_col)
-    # pandas pct_change pads nulls first; a halo of 168 >= 24 keeps this exact
-    # for gaps shorter than the halo
-    padded = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     hi = -1 if leak_free else 0
     out = (lo.df
-           .withColumn("_pad", padded)
            .withColumns({
                "load_lag_1h": F.lag(v, 1).over(w),
                "load_lag_24h": F.lag(v, 24).over(w),

@@ -163,6 +163,15 @@ def fill_forward(core: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     return out.drop(*["_c_" + c for c in cols])
 
 
+def padded_layout(df: DataFrame, col: str, out_col: str, halo: int, time_col: str = "datetime",
+                  keys: Sequence[str] = (), chunk: int | None = None, indexed: bool = False) -> Layout:
+    """A layout whose rows also carry ``out_col``: the last non-null ``col`` up to the row,
+    however far back (through the carry table, so not limited by chunk or halo)."""
+    lo = layout(df, time_col, keys, halo=0, chunk=chunk, indexed=indexed)
+    filled = fill_forward(lo.core(), [col], keys, suffix=out_col).withColumnRenamed(col + out_col, out_col)
+    return layout(filled.drop(CHUNK, HALO), time_col, keys, halo=halo, chunk=chunk, indexed=True)
+
+
 def running_sum(core: DataFrame, col: str, out_col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Running sum of ``col`` along ``_idx`` (inclusive), exact across chunks."""
     keys = list(keys)

@@ -111,26 +111,29 @@ def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_extendedprice").alias("load"))
 
 
-def requests(spark: SparkSession, sf_dir: str, n: int = 48) -> DataFrame:
-    """Prediction requests: the last ``n`` hours with lags as columns."""
+def hourly_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hourly`` load with two long null gaps: two days, and eight days."""
+    day = F.dayofmonth("datetime")
+    return hourly(spark, sf_dir).select("datetime", F.when(~(day.isin(5, 6) | day.between(12, 19)), F.col("load")).alias("load"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction requests: every hour, with lags as columns."""
     h = hourly_indexed(spark, sf_dir)
     t = F.col("datetime")
-    last = win.tail_n(h, n)
-    return last.select(
+    return h.select(
         "datetime", F.hour(t).alias("hour"), F.weekday(t).alias("day_of_week"),
         "temperature", "humidity", cal.holiday_flag(t).alias("is_holiday"),
         cal.season(t).alias("season"), "load_lag_1h", "load_lag_24h", "load_lag_168h",
         F.col("load").alias("actual_load"))
 
 
-def contributions_linear(spark: SparkSession, sf_dir: str, n: int = 168,
-                         indexed: DataFrame | None = None) -> DataFrame:
-    """Long contributions of a linear model on the last ``n`` hours:
+def contributions_linear(spark: SparkSession, sf_dir: str, indexed: DataFrame | None = None) -> DataFrame:
+    """Long contributions of a linear model on every hour:
     ``shap_value = w_f * (x_f - mean(x_f))``."""
     h = indexed if indexed is not None else hourly_indexed(spark, sf_dir)
     t = F.col("datetime")
-    last = win.tail_n(h, n).withColumns({"hour": F.hour(t).cast("double"),
-                                         "day_of_week": F.weekday(t).cast("double")})
+    last = h.withColumns({"hour": F.hour(t).cast("double"), "day_of_week": F.weekday(t).cast("double")})
     feats = list(LINEAR_WEIGHTS)
     stacked = last.select(
         "row_id", "datetime",
