@@ -16,11 +16,14 @@ shingles are left out: a pair still meets in a word that counts, unless both
 sets have more than ``spare`` such light words.  Those few sets meet one another
 under the next hash seed, and under the last seed no word is left out.
 
-Candidates are verified on their shingle sets.  Groups of sets with one word
-are not expanded into pairs: their members are verified against one member, a
-few times with other members; only sets that are still in different components
-are paired, and groups in which those are many are parted by the next seed
-first.  No group is cut, so no link between components is lost."""
+Sets that meet in a word form a group, and a group's least class is its centre.
+Groups are not expanded into pairs: each class goes once to each centre that it
+meets, so every candidate pair meets again in some centre's cell.  There, the
+cell's sets are compared through an inverted index of their shingles, and the
+verified links leave as a spanning forest, fewer than the cell has sets.  A cell
+of many shingles is cut into blocks, and each pair of blocks is a task of its
+own.  No pair of sets in a cell is left out.
+"""
 
 from __future__ import annotations
 
@@ -38,9 +41,7 @@ from .textvec import NOT_SPACE, distinct, flat, mix, shingles, slices, word_hash
 
 LEAST = 2               # shingles of a sketch word that counts
 SEEDS = 4               # hash seeds; the last leaves no word out
-STAR_ROUNDS = 3         # members that a group is verified against, at most, before pairs are formed
-PAIR_GROUP = 64         # larger groups with several components are parted by the next seed before they are paired
-SALT_LINKS = 256        # candidates that one copy of a set is verified with
+CELL_SHINGLES = 1 << 20   # shingles of a block of a cell, about
 BROADCAST_SETS = 200_000  # ids of candidate texts (a few MB) that are broadcast; more are joined by shuffle
 ROW, FORWARD, DIGEST = 0, 1, 2
 SCHEMA = "sig long, ref long, kind int, band int"
@@ -202,36 +203,83 @@ def _next_seed(tasks: DataFrame, texts: DataFrame, sk: Sketches, seed: int) -> D
     return tasks.join(texts, "ref").select("sig", "band", "text").mapInArrow(run, SCHEMA)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sk: Sketches) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.  Set a is sent once for each ``SALT_LINKS`` of
-    its pairs, so a set with very many candidates is spread over tasks."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    pairs = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT_LINKS)).alias("salt"))
-    heads = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("ref")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rest = pairs.join(texts, F.col("b") == F.col("ref")).select("a", "salt", "b", "text")
+def _forest(h: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, sk: Sketches) -> list[tuple[int, int]]:
+    """Links between the sets ``left`` and ``right`` (all pairs, if they are the same), but none within what is joined already."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    index = np.isin(owner, right)
+    order = np.flatnonzero(index)[np.argsort(h[index], kind="stable")]
+    keys, members = h[order], owner[order]
+    root = list(range(len(size)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    out = []
+    for x in left.tolist():
+        own = h[bounds[x]:bounds[x + 1]]
+        a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        n = b - a
+        if not n.sum():
+            continue
+        met = members[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        common = np.bincount(met, minlength=len(size))
+        for y in np.flatnonzero((common > 0) & (sk.den * common >= sk.num * (size[x] + size - common))).tolist():
+            if y != x and top(x) != top(y):
+                root[top(y)] = top(x)
+                out.append((x, y))
+    return out
+
+
+def _links(groups: DataFrame, sizes: DataFrame, texts: DataFrame, sk: Sketches, tables: Tables) -> DataFrame:
+    """Verified links (a, b) that join whatever the groups' links join."""
+    met = tables.store(groups.where("ref != rep").select("rep", "ref").distinct())
+    cells = met.unionByName(met.select("rep", F.col("rep").alias("ref")).distinct()).join(sizes, "ref")
+    blocks = cells.groupBy("rep").agg(F.ceil(F.sum("n_shingles") / CELL_SHINGLES).alias("blocks"))
+    placed = cells.join(blocks, "rep").withColumn("own", F.pmod(F.xxhash64("ref", "rep"), F.col("blocks")))
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ref")
+    rows = tasks.join(texts, "ref").select("rep", "i", "j", "own", "ref", "text")
+
+    def cell(batches: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        texts_, refs = t.column(5).combine_chunks(), t.column(4).to_numpy()
+        i, j, own = t.column(1)[0].as_py(), t.column(2)[0].as_py(), t.column(3).to_numpy()
+        parts = [shingle_sets(texts_.slice(a, b - a), sk.words) for a, b in slices(texts_)]
+        h = np.concatenate([p[0] for p in parts])
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        return [(int(refs[x]), int(refs[y])) for x, y in _forest(h, bounds, np.flatnonzero(own == i), np.flatnonzero(own == j), sk)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, key = np.zeros(0, np.uint64), None
+        held: list[pa.RecordBatch] = []
+        found: list[tuple[int, int]] = []
+
+        def out():
+            a, b = zip(*found) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         for batch in batches:
-            for x, y in slices(batch.column(3)):
-                part = batch.slice(x, y - x)
-                h, bounds, _ = shingle_sets(part.column(3), sk.words)
-                found_a, found_b = [], []
-                for i, (a, salt, b) in enumerate(zip(*[part.column(c).to_pylist() for c in range(3)])):
-                    own = h[bounds[i]:bounds[i + 1]]
-                    if b is None:
-                        head, key = own, (a, salt)
-                    elif key == (a, salt) and len(head) and len(own):
-                        small, large = (own, head) if len(own) < len(head) else (head, own)
-                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        common = int((large[place] == small).sum())
-                        if sk.den * common >= sk.num * (len(own) + len(head) - common):
-                            found_a.append(a)
-                            found_b.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-
-    dealt = heads.unionByName(rest).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            if held and [held[-1].column(c)[0].as_py() for c in range(3)] != key[0].tolist():
+                found += cell(held)
+                held = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+                held.append(batch.slice(a, b - a))
+                if b < len(key):
+                    found += cell(held)
+                    held = []
+            yield out()
+        if held:
+            found += cell(held)
+        yield out()
+
+    dealt = rows.repartition(partitions(groups.sparkSession), "rep", "i", "j").sortWithinPartitions("rep", "i", "j", "ref")
+    return tables.store(dealt.mapInArrow(run, "a long, b long"))
 
 
 def _candidate_texts(docs: DataFrame, digests: DataFrame, refs: DataFrame, sk: Sketches, tables: Tables) -> DataFrame:
@@ -249,45 +297,6 @@ def _candidate_texts(docs: DataFrame, digests: DataFrame, refs: DataFrame, sk: S
     return tables.store(met.mapInArrow(run, "ref long, text string").dropDuplicates(["ref"]))
 
 
-def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, ref, band, label, members, labels) of the groups that hold several components."""
-    known = groups.join(labels, groups["ref"] == labels["node"], "left").select("sig", "ref", "band", F.coalesce("label", "ref").alias("label"))
-    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    return known.join(mixed, "sig")
-
-
-def _star(open_groups: DataFrame, round_: int) -> DataFrame:
-    """Pairs of each group's member that this round picks with the members of other components."""
-    pick = open_groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("ref", F.lit(round_)), "ref", "label")).alias("p"))
-    met = open_groups.join(pick, "sig").where(F.col("label") != F.col("p.label"))
-    return met.select(F.least("ref", "p.ref").alias("a"), F.greatest("ref", "p.ref").alias("b")).distinct()
-
-
-def _pairs(open_groups: DataFrame) -> DataFrame:
-    """Pairs of different components inside each group, made group by group as they stream by."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, refs, labels = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def emit(refs, labels):
-            for i in range(1, len(refs)):
-                at = np.flatnonzero(labels[:i] != labels[i])
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(refs[at], refs[i])), pa.array(np.maximum(refs[at], refs[i]))], ["a", "b"])
-        for batch in batches:
-            s, r, la = [c.to_numpy() for c in batch.columns]
-            cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else []
-            for x, y in zip(cuts, np.append(cuts[1:], len(s)) if len(s) else []):
-                if s[x] != sig:
-                    yield from emit(refs, labels)
-                    sig, refs, labels = s[x], r[x:y], la[x:y]
-                else:
-                    refs, labels = np.concatenate([refs, r[x:y]]), np.concatenate([labels, la[x:y]])
-        yield from emit(refs, labels)
-
-    rows = open_groups.select("sig", "ref", "label").repartition(partitions(open_groups.sparkSession), "sig").sortWithinPartitions("sig", "ref")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
 def similarity_components(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
@@ -319,33 +328,8 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int, id_co
     more = under_seeds(onward.select("sig", "ref", "band"), 1)
     groups = (groups if more is None else groups.unionByName(more)).select("sig", "ref", "band", "rep")
 
-    tried = tables.store(groups.where("ref != rep").select(F.least("ref", "rep").alias("a"), F.greatest("ref", "rep").alias("b")).distinct())
-    links = tables.store(_verified(tried, texts, sk))
-    labels = components(links, tables)
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal tried, links, labels
-        fresh = tables.store(pairs.join(tried, ["a", "b"], "left_anti"))
-        if fresh.limit(1).count():
-            links = tables.store(links.unionByName(_verified(fresh, texts, sk)))
-            tried = tables.store(tried.unionByName(fresh))
-            labels = components(links, tables)
-
-    seed, open_groups = 1, groups
-    while True:
-        open_groups = tables.store(_labelled(open_groups.select("sig", "ref", "band"), labels))
-        for round_ in range(STAR_ROUNDS):
-            if not open_groups.where(F.col("members") > 2).limit(1).count():
-                break
-            add(_star(open_groups, round_))
-            open_groups = tables.store(_labelled(open_groups.select("sig", "ref", "band"), labels))
-        part = F.lit(False) if seed >= SEEDS else F.col("members") > PAIR_GROUP
-        add(_pairs(open_groups.where(~part)))
-        large = open_groups.where(part).select("sig", "ref", "band")
-        if seed >= SEEDS or not large.limit(1).count():
-            break
-        open_groups = under_seeds(large, seed)
-        seed += 1
+    sizes = members.groupBy("ref").agg(F.first("n_shingles").alias("n_shingles"))
+    labels = components(_links(groups, sizes, texts, sk, tables), tables)
 
     first = members.groupBy("ref").agg(F.min("doc_id").alias("least"))
     placed = first.join(labels, first["ref"] == labels["node"], "left").select("ref", "least", F.coalesce("label", "ref").alias("label"))

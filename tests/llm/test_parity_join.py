@@ -58,10 +58,9 @@ def made(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,num,den,group", [(4, 85, 100, 64), (5, 80, 100, 3)])
-def test_equals_brute_force(spark, docs, edge_rows, monkeypatch, k, num, den, group):
-    monkeypatch.setattr(pj, "PAIR_GROUP", group)
-    monkeypatch.setattr(pj, "STAR_ROUNDS", 1 if group == 3 else 3)
+@pytest.mark.parametrize("k,num,den,cell", [(4, 85, 100, 1 << 20), (5, 80, 100, 150)])
+def test_equals_brute_force(spark, docs, edge_rows, monkeypatch, k, num, den, cell):
+    monkeypatch.setattr(pj, "CELL_SHINGLES", cell)          # the small one cuts cells into many blocks
     rows = [r[:2] for r in edge_rows] + made(k, 260) + [(None, "w1 w2 w3 w4 w5 w6"), (7777, "w1 w2 w3 w4 w5 w6")]
     got = pj.similarity_components(docs(rows, extra=True).repartition(5), k, num, den).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, k, num, den)
