@@ -6,7 +6,7 @@ tables the Spark functions use, so both engines evaluate one rule."""
 from __future__ import annotations
 
 from ..functions import calendar as cal
-from ..sources.fixtures import LINEAR_WEIGHTS
+from ..sources.fixtures import LINEAR_WEIGHTS, QUESTION_TEXT
 
 
 def holiday_sql(t: str) -> str:
@@ -76,6 +76,9 @@ model_pred AS (
   UNION ALL SELECT 'lag_24', row_id, y, lag_24 FROM mp_wide WHERE row_id >= 24
   UNION ALL SELECT 'mean_24', row_id, y, mean_24 FROM mp_wide WHERE row_id >= 24)"""
 
+QUESTIONS = f"""
+questions AS (SELECT conv_id, turn, role, {QUESTION_TEXT} AS text FROM conversations)"""
+
 DAILY_ORDERS = """
 daily_orders AS (
   SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS datetime, SUM(o_totalprice) AS load

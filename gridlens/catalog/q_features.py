@@ -248,9 +248,9 @@ STRIP_SQL = r"""CASE WHEN starts_with(regexp_replace(text, '^\s+|\s+$', '', 'g')
   ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END"""
 
 
-@register("strip_code_fence", sql("", f"SELECT conv_id, turn, {STRIP_SQL} AS clean_text FROM conversations"))
+@register("strip_code_fence", sql(fs.QUESTIONS, f"SELECT conv_id, turn, {STRIP_SQL} AS clean_text FROM questions"))
 def q_strip(spark, sf_dir):
-    c = fx.conversations(spark, sf_dir)
+    c = fx.questions(spark, sf_dir)
     return c.select("conv_id", "turn", txt.strip_code_fence("text").alias("clean_text"))
 
 
@@ -631,9 +631,9 @@ def q_seasonal_abs_diff(spark, sf_dir):
 @register("history_trim", sql("", """
 SELECT conv_id, turn, role FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
-WHERE rn <= 10"""))
+WHERE rn <= 4"""))
 def q_history_trim(spark, sf_dir):
-    return txt.history_trim(fx.conversations(spark, sf_dir)).select("conv_id", "turn", "role")
+    return txt.history_trim(fx.conversations(spark, sf_dir), max_turns=2).select("conv_id", "turn", "role")
 
 
 _CF_DOUBLES = ["load", "temperature", "humidity", "load_lag_1h", "load_lag_24h", "load_lag_168h",

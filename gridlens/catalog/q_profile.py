@@ -176,13 +176,13 @@ def q_corr_matrix(spark, sf_dir):
 
 
 @register("lagged_correlation", sql(fs.HOURLY + ",\nlg AS (SELECT load, " + ", ".join(
-    f"lag(load, {k}) OVER (ORDER BY datetime) AS l{k}" for k in range(25)) + " FROM hourly),\ncs AS (" +
+    f"lag(temperature, {k}) OVER (ORDER BY datetime) AS l{k}" for k in range(25)) + " FROM hourly),\ncs AS (" +
     " UNION ALL ".join(f"SELECT {k} AS lag, corr(load, l{k}) AS correlation FROM lg" for k in range(25)) + ")",
-    """SELECT 'load' AS feature1, 'load' AS feature2, CAST(lag AS INTEGER) AS lag, correlation,
+    """SELECT 'load' AS feature1, 'temperature' AS feature2, CAST(lag AS INTEGER) AS lag, correlation,
        CAST(row_number() OVER (ORDER BY abs(correlation) DESC, lag) AS INTEGER) AS rank
-FROM cs WHERE abs(correlation) > 0.5 QUALIFY rank <= 5""", ["correlation"]))
+FROM cs WHERE abs(correlation) > 0.01 QUALIFY rank <= 5""", ["correlation"]))
 def q_lagged_corr(spark, sf_dir):
-    return round6(insight.lagged_correlation(fx.hourly(spark, sf_dir), "load", "load"))
+    return round6(insight.lagged_correlation(fx.hourly(spark, sf_dir), "load", "temperature", min_abs=0.01))
 
 
 _TD = ["temperature", "humidity", "load_lag_1h", "load_lag_24h", "load_lag_168h"]
@@ -191,10 +191,10 @@ _TD = ["temperature", "humidity", "load_lag_1h", "load_lag_24h", "load_lag_168h"
 @register("top_drivers", sql(fs.HOURLY_IDX + ",\ncs AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, corr({c}, load) AS correlation FROM hourly_idx" for c in _TD) + ")",
     """SELECT feature, correlation, CAST(row_number() OVER (ORDER BY abs(correlation) DESC, feature) AS INTEGER) AS rank
-FROM cs WHERE abs(correlation) > 0.3 QUALIFY rank <= 10""", ["correlation"]))
+FROM cs WHERE abs(correlation) > 0.01 QUALIFY rank <= 10""", ["correlation"]))
 def q_top_drivers(spark, sf_dir):
     h = fx.hourly_indexed(spark, sf_dir).drop("row_id")
-    return round6(prof.top_drivers(h))
+    return round6(prof.top_drivers(h, min_abs=0.01))
 
 
 _STATS_COLS = ["total", "mean", "std", "min", "max", "median", "q25", "q75", "daily_mean_max", "daily_mean_min",

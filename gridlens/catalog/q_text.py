@@ -63,48 +63,48 @@ def q_follow_up(spark, sf_dir):
                                                                     "previous_intent", "route")
 
 
-@register("parse_periods", sql("", r"""
+@register("parse_periods", sql(fs.QUESTIONS, r"""
 SELECT conv_id, turn,
   CASE WHEN len(regexp_extract_all(text, '(\d+)月', 1)) >= 2 THEN printf('2023-%02d-01', CAST(regexp_extract_all(text, '(\d+)月', 1)[1] AS INTEGER)) ELSE '2023-06-01' END AS p1_start,
   CASE WHEN len(regexp_extract_all(text, '(\d+)月', 1)) >= 2 THEN printf('2023-%02d-28', CAST(regexp_extract_all(text, '(\d+)月', 1)[1] AS INTEGER)) ELSE '2023-06-30' END AS p1_end,
   CASE WHEN len(regexp_extract_all(text, '(\d+)月', 1)) >= 2 THEN printf('2023-%02d-01', CAST(regexp_extract_all(text, '(\d+)月', 1)[2] AS INTEGER)) ELSE '2023-07-01' END AS p2_start,
   CASE WHEN len(regexp_extract_all(text, '(\d+)月', 1)) >= 2 THEN printf('2023-%02d-28', CAST(regexp_extract_all(text, '(\d+)月', 1)[2] AS INTEGER)) ELSE '2023-07-31' END AS p2_end
-FROM conversations"""))
+FROM questions"""))
 def q_parse_periods(spark, sf_dir):
-    c = fx.conversations(spark, sf_dir)
+    c = fx.questions(spark, sf_dir)
     return c.select("conv_id", "turn", dlg.parse_periods("text").alias("p")).select("conv_id", "turn", "p.*")
 
 
-@register("parse_date_range", sql("", r"""
+@register("parse_date_range", sql(fs.QUESTIONS, r"""
 SELECT conv_id, turn,
   CASE WHEN len(regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')) >= 1 THEN regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')[1] END AS start,
   CASE WHEN len(regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')) >= 2 THEN regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')[2]
        WHEN len(regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')) = 1 THEN regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')[1] END AS "end"
-FROM conversations"""))
+FROM questions"""))
 def q_parse_date_range(spark, sf_dir):
-    c = fx.conversations(spark, sf_dir)
+    c = fx.questions(spark, sf_dir)
     return c.select("conv_id", "turn", dlg.parse_date_range("text").alias("p")).select("conv_id", "turn", "p.*")
 
 
-@register("parse_whatif", sql("", r"""
+@register("parse_whatif", sql(fs.QUESTIONS, r"""
 SELECT conv_id, turn,
   CASE WHEN regexp_extract(text, '(\d+(?:\.\d+)?)\s*°?C', 1) <> '' THEN CAST(regexp_extract(text, '(\d+(?:\.\d+)?)\s*°?C', 1) AS DOUBLE) END AS temperature,
   CASE WHEN regexp_extract(text, '湿度\s*(\d+(?:\.\d+)?)', 1) <> '' THEN CAST(regexp_extract(text, '湿度\s*(\d+(?:\.\d+)?)', 1) AS DOUBLE) END AS humidity,
   CASE WHEN regexp_extract(text, '(工作日|周末|节假日)', 1) = '工作日' THEN 1 WHEN regexp_extract(text, '(工作日|周末|节假日)', 1) = '周末' THEN 0 END AS is_workday
-FROM conversations"""))
+FROM questions"""))
 def q_parse_whatif(spark, sf_dir):
-    c = fx.conversations(spark, sf_dir)
+    c = fx.questions(spark, sf_dir)
     return c.select("conv_id", "turn", dlg.parse_whatif("text").alias("p")).select("conv_id", "turn", "p.*")
 
 
-@register("whatif_scenario", sql(fs.HOURLY + """,
+@register("whatif_scenario", sql(fs.HOURLY + "," + fs.QUESTIONS + """,
 latest AS (SELECT arg_max(temperature, datetime) AS temperature, CAST(hour(max(datetime)) AS INTEGER) AS hour FROM hourly),
 base AS (SELECT avg(load) AS baseline_load FROM hourly),
 sc AS (SELECT c.conv_id, c.turn, coalesce(TRY_CAST(nullif(regexp_extract(c.text, '(\\d+(?:\\.\\d+)?)\\s*°?C', 1), '') AS DOUBLE), l.temperature) AS scenario_temperature,
               CASE WHEN regexp_extract(c.text, '(工作日|周末|节假日)', 1) = '工作日' THEN 1
                    WHEN regexp_extract(c.text, '(工作日|周末|节假日)', 1) = '周末' THEN 0 END AS scenario_is_workday,
               l.hour, b.baseline_load
-       FROM conversations c, latest l, base b)""", """
+       FROM questions c, latest l, base b)""", """
 SELECT conv_id, turn, scenario_temperature, scenario_is_workday,
   greatest(2500.0 + (CASE WHEN scenario_temperature > 25 THEN (scenario_temperature - 25) * 15
                           WHEN scenario_temperature < 15 THEN (15 - scenario_temperature) * 10 ELSE 0.0 END)
@@ -116,7 +116,7 @@ def q_whatif_scenario(spark, sf_dir):
     h = fx.hourly(spark, sf_dir)
     feats = h.select("datetime", "temperature", F.hour("datetime").alias("hour"))
     base = h.agg(F.avg("load").alias("baseline_load"))
-    c = fx.conversations(spark, sf_dir).select("conv_id", "turn", "text")
+    c = fx.questions(spark, sf_dir).select("conv_id", "turn", "text")
     out = dlg.whatif_scenario(c, feats, base)
     return round6(out.select("conv_id", "turn", "scenario_temperature", "scenario_is_workday", "scenario_load",
                              "baseline_load"))
@@ -137,8 +137,19 @@ def q_batch_dialogue(spark, sf_dir):
                         .alias("answer")),
         "what_if": h.agg(F.format_string("baseline %.1f MW", F.avg("load")).alias("answer")),
     }
-    c = fx.conversations(spark, sf_dir)
-    return dlg.batch_dialogue(c, answers, keywords=PROSE_KEYWORDS).select("conv_id", "turn", "intent", "answer")
+    shares = fx.contributions_linear(spark, sf_dir).groupBy("feature").agg(F.avg("abs_contribution").alias("mean_abs"))
+    top = shares.orderBy(F.col("mean_abs").desc(), "feature").limit(3)
+    answers["attribution"] = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("mean_abs"), "feature"))),
+                                                              lambda x: x["feature"]), ", ").alias("answer"))
+    c = fx.questions(spark, sf_dir)
+    said = dlg.batch_dialogue(c, answers, keywords=PROSE_KEYWORDS).select("conv_id", "turn", "intent", "text", "answer")
+    # the turn's own periods and scenario, as far as it names any
+    feats = h.select("datetime", "temperature", F.hour("datetime").alias("hour"))
+    own = dlg.whatif_scenario(said, feats, h.agg(F.avg("load").alias("baseline_load")))
+    return round6(own.withColumn("p", dlg.parse_periods("text")).select(
+        "conv_id", "turn", "intent", "answer", F.when(F.col("intent") == "what_if", F.col("scenario_load")).alias("scenario_load"),
+        F.when(F.col("intent") == "comparison", F.col("p.p1_start")).alias("period_1"),
+        F.when(F.col("intent") == "comparison", F.col("p.p2_start")).alias("period_2")))
 
 
 _DEV = fs.PRED + """,

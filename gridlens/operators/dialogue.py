@@ -153,17 +153,14 @@ def batch_dialogue(turns: DataFrame, answers: dict[str, DataFrame], text_col: st
     """Classify every turn and attach the answer of its intent.
 
     ``answers`` maps intent -> one-row answer table ``(answer string)``
-    computed once over the data (anomaly scan, comparison, report, ...);
-    each intent's questions are joined to their answer (broadcast: one row
-    each) and the branches are unioned."""
+    computed once over the data (anomaly scan, comparison, report, ...).  The
+    turns are read once and joined with the table of answers (broadcast: one
+    row an intent)."""
     tagged = intent_classify(turns, text_col, keywords)
-    parts = []
+    table = None
     for intent, ans in answers.items():
-        a = ans.select(F.col("answer").cast("string").alias("answer"))
-        parts.append(tagged.filter(F.col("intent") == intent).crossJoin(F.broadcast(a)))
-    known = list(answers)
-    rest = tagged.filter(~F.col("intent").isin(*known)).withColumn("answer", F.lit(None).cast("string"))
-    out = rest
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        one = ans.select(F.lit(intent).alias("_intent"), F.col("answer").cast("string").alias("answer"))
+        table = one if table is None else table.unionByName(one)
+    if table is None:
+        return tagged.withColumn("answer", F.lit(None).cast("string"))
+    return tagged.join(F.broadcast(table), F.col("intent") == F.col("_intent"), "left").drop("_intent")

@@ -43,19 +43,18 @@ def regression_metrics(df: DataFrame, keys: Sequence[str] = ("model",), y: str =
                        scale: DataFrame | None = None) -> DataFrame:
     """MAE, RMSE, MAPE (rows with y = 0 masked, null if none), R2 (null if
     ss_tot = 0), SMAPE (zero denominators masked), MASE (with ``scale``;
-    null if the scale is 0).  Two aggregates: the mean of y, then the rest."""
+    null if the scale is 0).  One aggregate: ss_tot is the population
+    variance of y times the count."""
     keys = list(keys)
     yt, yp = F.col(y), F.col(yhat)
-    mu = df.groupBy(*keys).agg(F.avg(y).alias("_mu"))
-    j = df.join(mu, keys, "left") if keys else df.crossJoin(F.broadcast(mu))
     den = (F.abs(yt) + F.abs(yp)) / 2
-    agg = j.groupBy(*keys).agg(
+    agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(yt - yp)).alias("mae"),
         F.sqrt(F.avg((yt - yp) * (yt - yp))).alias("rmse"),
         (F.avg(F.when(yt != 0, F.abs((yt - yp) / yt))) * 100).alias("mape"),
         F.sum((yt - yp) * (yt - yp)).alias("_ssr"),
-        F.sum((yt - F.col("_mu")) * (yt - F.col("_mu"))).alias("_sst"),
+        (F.var_pop(y) * F.count(y)).alias("_sst"),
         (F.avg(F.when(den != 0, F.abs(yp - yt) / den)) * 100).alias("smape"))
     out = agg.select(*keys, "n", "mae", "rmse", "mape",
                      F.when(F.col("_sst") != 0, 1 - F.col("_ssr") / F.col("_sst")).alias("r2"), "smape")

@@ -210,28 +210,31 @@ def prompt_table(pred: DataFrame, contrib: DataFrame, detail: str = "standard",
         F.lit(detail)).alias("prompt"))
 
 
+def _first_lines(df: DataFrame, order: list[str], line: Column, name: str, k: int = 3) -> DataFrame:
+    """The first ``k`` lines in order, joined (one row): a top-k, then an array of at most k."""
+    top = df.withColumn("_line", line).orderBy(*order).limit(k).select(F.struct(*order, "_line").alias("_s"))
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["_line"]), "\n").alias(name))
+
+
 def insight_summary(trends: DataFrame, anomalies: DataFrame, correlations: DataFrame) -> DataFrame:
     """Counts of trends, high / medium anomalies and correlations plus the
-    first three lines of each (one row)."""
-    tr = trends.agg(F.count(F.lit(1)).alias("n_trends"),
-                    F.slice(F.array_sort(F.collect_list(F.struct("start_time", F.format_string(
-                        "%s trend over %d hours (%.1f%%)", F.col("trend_type"), F.col("duration"),
-                        F.col("change_rate") * 100).alias("s")))), 1, 3).alias("_t"))
-    an = anomalies.agg(F.count_if(F.col("severity") == "high").alias("n_high_anomalies"),
-                       F.count_if(F.col("severity") == "medium").alias("n_medium_anomalies"),
-                       F.slice(F.array_sort(F.collect_list(F.struct(
-                           "severity_rank", "datetime", F.format_string(
-                               "%s: %.1f%% deviation (%s)", F.col("datetime").cast("string"),
-                               F.col("error_percentage"), F.col("severity")).alias("s")))), 1, 3).alias("_a"))
-    co = correlations.agg(F.count(F.lit(1)).alias("n_correlations"),
-                          F.slice(F.array_sort(F.collect_list(F.struct("rank", F.format_string(
-                              "lag %d h: r = %.3f", F.col("lag"), F.col("correlation")).alias("s")))), 1, 3)
-                          .alias("_c"))
-    j = tr.crossJoin(an).crossJoin(co)
-    return j.select("n_trends", "n_high_anomalies", "n_medium_anomalies", "n_correlations",
-                    F.array_join(F.transform("_t", lambda x: x["s"]), "\n").alias("top_trends"),
-                    F.array_join(F.transform("_a", lambda x: x["s"]), "\n").alias("top_anomalies"),
-                    F.array_join(F.transform("_c", lambda x: x["s"]), "\n").alias("top_correlations"))
+    first three lines of each (one row).  Each part is an aggregate or a
+    top-k with one row, so the joins are of single rows."""
+    parts = [
+        trends.agg(F.count(F.lit(1)).alias("n_trends")),
+        anomalies.agg(F.count_if(F.col("severity") == "high").alias("n_high_anomalies"),
+                      F.count_if(F.col("severity") == "medium").alias("n_medium_anomalies")),
+        correlations.agg(F.count(F.lit(1)).alias("n_correlations")),
+        _first_lines(trends, ["start_time"], F.format_string(
+            "%s trend over %d hours (%.1f%%)", "trend_type", "duration", F.col("change_rate") * 100), "top_trends"),
+        _first_lines(anomalies, ["severity_rank", "datetime"], F.format_string(
+            "%s: %.1f%% deviation (%s)", F.col("datetime").cast("string"), "error_percentage", "severity"), "top_anomalies"),
+        _first_lines(correlations, ["rank"], F.format_string("lag %d h: r = %.3f", "lag", "correlation"), "top_correlations"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))
+    return out
 
 
 def sections_markdown(sections: DataFrame) -> DataFrame:

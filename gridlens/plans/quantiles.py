@@ -29,8 +29,8 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys: Seque
         agg = df.groupBy(*keys).agg(F.percentile_approx(value_col, probs, accuracy).alias("_q"))
         return agg.select(*keys, F.posexplode("_q").alias("_i", "quantile")).select(
             *keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "quantile")
-    vals = df.select(*keys, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    vals = vals.withColumn("_tie", F.xxhash64("_v", F.monotonically_increasing_id()))
+    # the tie-breaker is a hash of the row, so a task that runs again gives the same one
+    vals = df.select(*keys, F.col(value_col).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_tie")).filter(F.col("_v").isNotNull())
     ranked = o.with_row_index(vals, ["_v", "_tie"], keys)
     n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     p = spark.createDataFrame([(x,) for x in probs], "prob double")
@@ -39,11 +39,15 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys: Seque
     pos = pos.select(*keys, "prob", "_h", F.floor("_h").cast("long").alias("_lo"),
                      F.ceil("_h").cast("long").alias("_hi"))
     r = ranked.select(*keys, F.col(o.IDX).alias("_r"), "_v")
-    lo = r.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = r.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    j = pos.join(lo, keys + ["_lo"], "left").join(hi, keys + ["_hi"], "left")
-    q = F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
-    return j.select(*keys, "prob", q.alias("quantile"))
+    # one pass over the ranked rows: the few wanted ranks are the small side of an inner join
+    want = pos.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "prob", "_h", "_lo",
+                      F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_want"))
+    cond = F.col("_r") == F.col("_want")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = r.join(want if keys else F.broadcast(want), cond)     # without keys: two rows a probability
+    at = met.groupBy(*keys, "prob").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"), F.first(F.col("_h") - F.col("_lo")).alias("_f"))
+    return at.select(*keys, "prob", (F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, value_col: str, probs: dict[str, float], keys: Sequence[str] = (),

@@ -171,5 +171,19 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("method", "score")).select("method", "feature", "score")
 
 
+#: Text of a turn with what the parsers look for, from its numbers; the same SQL in both engines.
+QUESTION_TEXT = """CASE (conv_id + turn) % 5
+  WHEN 0 THEN concat(text, ' ', CAST(conv_id % 12 + 1 AS STRING), '月', CAST(turn % 12 + 1 AS STRING), '月')
+  WHEN 1 THEN concat('2024-01-', lpad(CAST(turn % 28 + 1 AS STRING), 2, '0'), ' ', text, ' 2024/02/', lpad(CAST(conv_id % 28 + 1 AS STRING), 2, '0'))
+  WHEN 2 THEN concat(text, ' ', CAST(conv_id % 45 AS STRING), '.5°C 湿度 ', CAST(turn * 7 % 100 AS STRING), CASE turn % 3 WHEN 0 THEN '工作日' WHEN 1 THEN '周末' ELSE '节假日' END)
+  WHEN 3 THEN concat('```json', chr(10), text, chr(10), '```')
+  ELSE concat(text, ' 2024-01-03 ', CAST(turn AS STRING), ' C') END"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` with months, dates, scenarios or a code fence in its text."""
+    return conversations(spark, sf_dir).withColumn("text", F.expr(QUESTION_TEXT))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
