@@ -22,19 +22,19 @@ from ..operators import models as M
 from ..operators import compare as cmp
 from ..operators import report as rep
 from ..operators import standardize as std
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from .registry import register, round6
 
-QUERY_MODEL = dict(maxIter=10, maxDepth=4)
-QUERY_INTERVAL = dict(interval_trees=10, interval_depth=5)
+#: The library's default sizes; boosting ends where the error on held-out rows has converged.
+CANDIDATES = ("gbt_early_stop", "forest")
 FEATURES = feat.FEATURES
 _CACHE: dict = {}
 
 
 def feature_table(spark, sf_dir):
     """Standardised hourly series -> 30 features, ``row_id`` and split."""
-    key = ("features", sf_dir, id(spark))
+    key = ("features", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
         base = std.standardize_columns(fx.hourly(spark, sf_dir))
         fe = feat.create_features(base)
@@ -43,11 +43,10 @@ def feature_table(spark, sf_dir):
 
 
 def trained(spark, sf_dir) -> M.TrainedModel:
-    key = ("model", sf_dir, id(spark))
+    key = ("model", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
         fe = feature_table(spark, sf_dir)
-        _CACHE[key] = M.train_model(fe.filter(F.col("split") == "train"), FEATURES, **QUERY_INTERVAL,
-                                    **QUERY_MODEL)
+        _CACHE[key] = M.train_model(fe.filter(F.col("split") == "train"), FEATURES, early_stop=True)
     return _CACHE[key]
 
 
@@ -56,7 +55,7 @@ def _test(spark, sf_dir):
 
 
 def _trees(spark, sf_dir):
-    key = ("trees", sf_dir, id(spark))
+    key = ("trees", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
         _CACHE[key] = X.tree_tables(trained(spark, sf_dir).point, spark)
     return _CACHE[key]
@@ -72,9 +71,7 @@ def q_train_gbt(spark, sf_dir):
 @register("train_gbt_early_stop")
 def q_train_gbt_es(spark, sf_dir):
     fe = feature_table(spark, sf_dir)
-    tr = fe.filter(F.col("split") == "train").withColumn(
-        "is_validation", F.pmod(F.xxhash64("row_id", F.lit(42)), F.lit(5)) == 0)
-    pm = M.train_gbt_early_stop(tr, FEATURES, **QUERY_MODEL)
+    pm = M.train_gbt_early_stop(M.held_out(fe.filter(F.col("split") == "train"), FEATURES), FEATURES)
     return round6(pm.transform(_test(spark, sf_dir)).select("row_id", "load", "prediction"))
 
 
@@ -100,7 +97,7 @@ def q_train_model(spark, sf_dir):
 def q_train_all(spark, sf_dir):
     fe = feature_table(spark, sf_dir)
     tr = fe.filter(F.col("split") == "train")
-    models = M.train_all_models(tr, FEATURES, models=["gbt", "forest"], **QUERY_MODEL)
+    models = M.train_all_models(tr, FEATURES, models=CANDIDATES)
     te = _test(spark, sf_dir)
     parts = [m.transform(te).select(F.lit(n).alias("model"), "row_id", F.col("load").alias("y"),
                                     F.col("prediction").alias("yhat")) for n, m in models.items()]
@@ -153,15 +150,19 @@ def q_eval_text(spark, sf_dir):
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     fe = feature_table(spark, sf_dir).drop("row_id", "split")
-    return round6(M.cross_validate(fe, FEATURES, n_splits=5, **QUERY_MODEL))
+    return round6(_cv(fe))
+
+
+def _cv(fe):
+    parts = [M.cross_validate(fe, FEATURES, n_splits=5, model_type=m) for m in CANDIDATES]
+    return parts[0].unionByName(parts[1])
 
 
 def _cv_avg(spark, sf_dir):
-    key = ("cv", sf_dir, id(spark))
+    key = ("cv", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
         fe = feature_table(spark, sf_dir).drop("row_id", "split")
-        cv = M.cross_validate(fe, FEATURES, n_splits=5, **QUERY_MODEL)
-        _CACHE[key] = met.cv_average(cv).cache()
+        _CACHE[key] = cut_lineage(met.cv_average(_cv(fe)))
     return _CACHE[key]
 
 
@@ -170,9 +171,14 @@ def q_cv_compare(spark, sf_dir):
     return round6(met.cv_compare(_cv_avg(spark, sf_dir)))
 
 
+def _candidate_metrics(spark, sf_dir):
+    """Test metrics of every candidate model."""
+    return met.regression_metrics(q_train_all(spark, sf_dir))
+
+
 @register("candidate_pool")
 def q_candidate_pool(spark, sf_dir):
-    test = met.regression_metrics(_test_preds(spark, sf_dir)).select(
+    test = _candidate_metrics(spark, sf_dir).select(
         "model", F.lit("test").alias("source"), F.expr("stack(2, 'mae', mae, 'rmse', rmse)").alias("metric", "value"))
     cv = _cv_avg(spark, sf_dir).select("model", F.lit("cv").alias("source"), "metric", F.col("mean").alias("value"))
     return round6(test.unionByName(cv))
@@ -180,8 +186,7 @@ def q_candidate_pool(spark, sf_dir):
 
 @register("selection_summary")
 def q_selection_summary(spark, sf_dir):
-    m = met.regression_metrics(_test_preds(spark, sf_dir))
-    ranked = met.comparison_table(m)
+    ranked = met.comparison_table(_candidate_metrics(spark, sf_dir))
     cv = _cv_avg(spark, sf_dir).filter(F.col("metric") == "mae").select(
         "model", F.col("mean").alias("cv_mae_mean"), F.col("std").alias("cv_mae_std"))
     return round6(ranked.join(cv, "model", "left").select("model", "mae", "r2", "rank_mae", "rank_r2",
@@ -192,7 +197,7 @@ def q_selection_summary(spark, sf_dir):
 def q_ensemble_importance(spark, sf_dir):
     fe = feature_table(spark, sf_dir)
     tr = fe.filter(F.col("split") == "train")
-    models = M.train_all_models(tr, FEATURES, models=["gbt", "forest"], **QUERY_MODEL)
+    models = M.train_all_models(tr, FEATURES, models=CANDIDATES)
     parts = [M.feature_importance(m, FEATURES).withColumn("model", F.lit(n)) for n, m in models.items()]
     return round6(parts[0].unionByName(parts[1]))
 
@@ -214,11 +219,10 @@ def q_model_info(spark, sf_dir):
 
 # --------------------------------------------------------------- explanations
 def _shap(spark, sf_dir):
-    key = ("shap", sf_dir, id(spark))
+    key = ("shap", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
         tm = trained(spark, sf_dir)
         # the SHAP table feeds several joins: write it once (reliable checkpoint)
-        from ..session import cut_lineage
         _CACHE[key] = cut_lineage(X.tree_shap_table(tm.point, feature_table(spark, sf_dir), FEATURES,
                                                     trees=_trees(spark, sf_dir)))
     return _CACHE[key]

@@ -48,6 +48,11 @@ def train_gbt(df: DataFrame, features: Sequence[str], target: str = "load", **ov
     return _pipeline(features, est).fit(df)
 
 
+def held_out(df: DataFrame, features: Sequence[str], share: int = 5) -> DataFrame:
+    """Flag one row in ``share`` for validation by a hash of its content, however the table is partitioned."""
+    return df.withColumn("is_validation", F.pmod(F.xxhash64(*features, F.lit(P.SEED)), F.lit(share)) == 0)
+
+
 def train_gbt_early_stop(df: DataFrame, features: Sequence[str], target: str = "load",
                          valid_col: str = "is_validation", tol: float = 0.01, **over) -> PipelineModel:
     """Boosting monitored on the rows flagged ``valid_col``: training stops
@@ -82,9 +87,12 @@ class TrainedModel:
 
 def train_model(df: DataFrame, features: Sequence[str], target: str = "load", with_interval: bool = True,
                 interval_trees: int = P.INTERVAL_TREES, interval_depth: int = P.INTERVAL_DEPTH,
-                **over) -> TrainedModel:
-    """Point model + interval model + training metrics (one aggregate)."""
-    point = train_gbt(df, features, target, **over)
+                early_stop: bool = False, **over) -> TrainedModel:
+    """Point model + interval model + training metrics (one aggregate).  With
+    ``early_stop`` boosting ends before its full number of trees where the error
+    on held-out rows has converged."""
+    point = train_gbt_early_stop(held_out(df, features), features, target, **over) if early_stop \
+        else train_gbt(df, features, target, **over)
     interval = train_interval_model(df, point, features, target, interval_trees, interval_depth) \
         if with_interval else None
     scored = point.transform(df).select(F.lit("train").alias("model"), F.col(target).alias("y"),
@@ -101,10 +109,9 @@ def train_all_models(df: DataFrame, features: Sequence[str], target: str = "load
         if name == "gbt":
             out[name] = train_gbt(df, features, target, **over)
         elif name == "gbt_early_stop":
-            vi = df.withColumn("is_validation", F.rand(P.SEED) < 0.2)
-            out[name] = train_gbt_early_stop(vi, features, target, **over)
+            out[name] = train_gbt_early_stop(held_out(df, features), features, target, **over)
         elif name == "forest":
-            est = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=over.get("maxIter", 20),
+            est = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=over.get("numTrees", P.INTERVAL_TREES),
                                         maxDepth=over.get("maxDepth", P.INTERVAL_DEPTH), seed=P.SEED)
             out[name] = _pipeline(features, est).fit(df)
         else:
@@ -176,7 +183,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str = "load",
     """Expanding-window CV: one fit per fold (k distributed fits), metrics
     per fold as long rows ``(model, fold, train_size, test_size, metric, value)``."""
     from .features import timeseries_cv_folds
-    if model_type not in ("gbt", "forest"):
+    if model_type not in ("gbt", "gbt_early_stop", "forest"):
         raise ValueError(f"unknown model type {model_type}")
     folds = timeseries_cv_folds(df, n_splits, time_col).cache()
     rows = None
@@ -186,7 +193,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str = "load",
         if model_type == "gbt":
             m = train_gbt(tr, features, target, **over)
         else:
-            m = train_all_models(tr, features, target, ["forest"], **over)["forest"]
+            m = train_all_models(tr, features, target, [model_type], **over)[model_type]
         sc = m.transform(te).select(F.lit(model_type).alias("model"), F.col(target).alias("y"),
                                     F.col("prediction").alias("yhat"))
         mm = met.regression_metrics(sc, ["model"])
