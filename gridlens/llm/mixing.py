@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut_lineage, words_count
+from .frames import cut_lineage, partitions, words_count
 
 # Weights of the sources in order, repeating; share of all words; most times a source is taken.
 WEIGHTS = [5, 2, 1]
@@ -28,6 +28,7 @@ MOST = 2.0
 BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
 PIECE = 1024             # slots that one row is expanded to at once
+TASK_SLOTS = 1 << 20     # slots that one task makes, about
 BUCKET_ROWS = 4000       # documents in one running sum, about
 
 
@@ -95,7 +96,10 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     t = t.withColumn("K", F.col("full") * F.col("nb") + F.ceil(F.col("rest") / block)).where(F.col("K") > 0)
     every, earlier = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("N", F.sum("K").over(every)).withColumn("offset", F.coalesce(F.sum("K").over(earlier), F.lit(0)))
-    pieces = t.withColumn("piece", F.explode(F.expr(f"sequence(0L, (K - 1) div {PIECE})"))).repartition(F.col("source"), F.col("piece"))
+    pieces = t.withColumn("piece", F.explode(F.expr(f"sequence(0L, (K - 1) div {PIECE})")))
+    # dealt by number: the pieces are few bytes, and adaptive execution would put them all in one task
+    total = t.agg(F.max("N")).first()[0] or 0
+    pieces = pieces.repartition(max(partitions(t.sparkSession), -(-total // TASK_SLOTS)), "source", "piece")
     k = pieces.withColumn("k", F.explode(F.expr(f"sequence(piece * {PIECE}, least(K, (piece + 1) * {PIECE}) - 1)")))
     k = k.withColumn("epoch", F.floor(F.col("k") / F.col("nb"))).withColumn("at", F.pmod("k", "nb"))
     last = F.col("nb") - 1                              # the block that may be short ends each epoch
@@ -112,7 +116,8 @@ def _drawn(placed: DataFrame, plan: DataFrame, block: int) -> DataFrame:
     end = F.col("start") + F.col("size")
     spans = placed.where(F.col("size") > 0).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     p = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "words", "shard", "slot")
-    met = spans.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    # neither side may be broadcast: their sizes are estimated from the few rows that they are expanded from
+    met = spans.hint("merge").join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     low, high = F.greatest("start", F.col("block") * block), F.least(end, F.col("block") * block + F.col("words"))
     return met.withColumn("low", low).withColumn("high", high).where(F.col("high") > F.col("low")).select(
         "doc_id", "source", "h", "start", "size", "epoch", "shard", "slot", (F.col("low") - F.col("start")).alias("from_word"), (F.col("high") - F.col("start")).alias("to_word"))
