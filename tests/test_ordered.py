@@ -114,3 +114,49 @@ def test_exact_quantiles_with_hot_value(spark):
             exp = g["v"].quantile(q)
             val = got[(got["k"] == k) & (got["prob"] == q)]["quantile"].iloc[0]
             assert abs(val - exp) < 1e-12
+
+
+def test_null_gaps_do_not_depend_on_chunks(spark):
+    """Padded change rates and trend runs over gaps longer than the halo and across chunk borders."""
+    import pandas as pd
+    from gridlens.operators import insight
+    from gridlens.operators import windows as win
+    n = 900
+    values = [None if 60 <= i < 90 or 150 <= i < 400 or i == 700 else 100.0 + (i * 37 % 11) + i / 7 for i in range(n)]
+    times = pd.date_range("2024-01-01", periods=n, freq="h")
+    df = spark.createDataFrame([(t.to_pydatetime(), v) for t, v in zip(times, values)], "datetime timestamp_ntz, load double")
+    s = pd.Series(values, dtype="float64").ffill()
+    for chunk in (170, 300, None):
+        got = win.lag_features(df, chunk=chunk).toPandas().sort_values("datetime")
+        for k, name in ((1, "load_change_1h"), (24, "load_change_24h")):
+            want = s / s.shift(k) - 1
+            diff = (got[name].reset_index(drop=True) - want).abs()
+            assert diff.max() < 1e-9 and (got[name].reset_index(drop=True).isna() == want.isna()).all()
+    runs = [sorted(map(tuple, insight.trend_runs(df, min_duration=2, chunk=c).collect()), key=str) for c in (40, 170, None)]
+    assert runs[0] == runs[1] == runs[2]
+    gap = [r for r in insight.trend_runs(df, min_duration=2).collect() if r["duration"] >= 250]
+    assert [r["trend_type"] for r in gap] == ["stable"]
+
+
+def test_a_cluster_needs_a_checkpoint_folder():
+    import pytest
+    from gridlens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
