@@ -118,12 +118,10 @@ def timeseries_cv_folds(df: DataFrame, n_splits: int = 5, time_col: str = "datet
     idx = o.with_row_index(df, [time_col], keys).withColumnRenamed(o.IDX, "row_id")
     n = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     folds = spark.range(n_splits).select(F.col("id").cast("int").alias("fold"))
-    bounds = n.crossJoin(F.broadcast(folds)).select(
-        *keys, "fold",
-        (F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.floor(F.col("_n") / (n_splits + 1)))
-        .alias("_test_lo"),
-        F.floor(F.col("_n") / (n_splits + 1)).alias("_ts"))
-    j = idx.join(F.broadcast(bounds), keys, "inner") if keys else idx.crossJoin(F.broadcast(bounds))
+    # the row counts are one row a series, so only the single row without keys is broadcast
+    sized = idx.join(n, keys, "inner") if keys else idx.crossJoin(F.broadcast(n))
+    j = sized.crossJoin(F.broadcast(folds)).withColumn("_ts", F.floor(F.col("_n") / (n_splits + 1))).withColumn(
+        "_test_lo", F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.col("_ts")).drop("_n")
     rid = F.col("row_id")
     role = (F.when(rid < F.col("_test_lo"), "train")
              .when(rid < F.col("_test_lo") + F.col("_ts"), "test"))
