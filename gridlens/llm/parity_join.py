@@ -11,8 +11,8 @@ equi-join on (band, word index, word): a set joins its own band's sketches and,
 as the larger partner, those of the band below.
 
 A word that few shingles fell into says little and would gather unrelated sets.
-So p has ``spare`` words more than needed, and words with fewer than ``LEAST``
-shingles are left out: a pair still meets in a word that counts, unless both
+So p has ``spare`` words more than needed, and words with fewer than ``least``
+shingles (one or two) are left out: a pair still meets in a word that counts, unless both
 sets have more than ``spare`` such light words.  Those few sets meet one another
 under the next hash seed, and under the last seed no word is left out.
 
@@ -39,7 +39,6 @@ from .components import components
 from .frames import Tables, cut_lineage, id_text, partitions
 from .textvec import NOT_SPACE, distinct, flat, mix, shingles, slices, word_hashes
 
-LEAST = 2               # shingles of a sketch word that counts
 SEEDS = 4               # hash seeds; the last leaves no word out
 CELL_SHINGLES = 1 << 20   # shingles of a block of a cell, about
 BROADCAST_SETS = 200_000  # ids of candidate texts (a few MB) that are broadcast; more are joined by shuffle
@@ -61,12 +60,24 @@ class Sketches:
             low.append(max(low[-1] + 1, (low[-1] - 1) * self.den // self.num + 1))
         return np.array(low, np.int64)
 
-    def lengths(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(p, spare) of each band; p is 0 where linked sets are equal sets."""
+    def lengths(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(p, spare, least) of each band; p is 0 where linked sets are equal sets.
+
+        ``spare`` is the number of light words, those with fewer than ``least`` shingles, that few
+        of the band's smallest sets exceed (two deviations above the mean).  Light means empty or
+        one shingle where that costs few spare words, else empty."""
         a = low[1:] - 1
-        differ = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        spare = (0.04 * (differ + 1) + 2 * np.sqrt(0.04 * (differ + 1))).astype(np.int64)
-        return np.where(differ > 0, differ + 1 + spare, 0), spare
+        need = (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
+        p, spare, least = need.copy(), np.zeros_like(need), np.ones_like(need)
+        for few in (1, 2):
+            extra = np.zeros(len(need))
+            for _ in range(4):                          # spare words make every word lighter
+                mean = low[:-1] / (need + extra)
+                light = np.exp(-mean) * (1 + mean * (few == 2)) * (need + extra)
+                extra = np.floor(light + 2 * np.sqrt(light))
+            use = (extra <= 0.2 * need + 1) | (few == 1)
+            spare, least = np.where(use, extra, spare).astype(np.int64), np.where(use, few, least)
+        return np.where(need > 1, need + spare, 0), spare, least
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +100,7 @@ def _signatures(sk: Sketches, h: np.ndarray, bounds: np.ndarray, at: np.ndarray,
 
     Task i sketches set ``at[i]`` for band ``band[i]`` inside the group ``group[i]``."""
     low = sk.bands(int(np.diff(bounds).max(initial=1)) * sk.den // sk.num + 1)
-    p_of, spare_of = sk.lengths(low)
+    p_of, spare_of, least = sk.lengths(low)
     p, size = p_of[band], np.diff(bounds)[at]
     task = np.repeat(np.arange(len(at)), size)
     first = np.repeat(bounds[at] - (np.cumsum(size) - size), size)
@@ -112,7 +123,7 @@ def _signatures(sk: Sketches, h: np.ndarray, bounds: np.ndarray, at: np.ndarray,
         value[(np.cumsum(p) - p)[task] + word.astype(np.int64)] = parity
         task, word, parity = whole, index.astype(np.uint64), value
     else:
-        heavy = count >= LEAST
+        heavy = count >= least[band][task]
         task, word, parity = task[heavy], word[heavy], parity[heavy]
     light = np.zeros(0, int) if last else np.flatnonzero(p - np.bincount(task, minlength=len(at)) > spare_of[band])
     where = mix(group.view(np.uint64)[task] ^ mix((band[task].astype(np.uint64) << np.uint64(34)) ^ (np.uint64(seed) << np.uint64(60)) ^ word))
@@ -309,6 +320,7 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int, id_co
     sk, tables = Sketches(words, num, den), Tables(docs.sparkSession)
     docs = id_text(docs, id_col, text_col)
     found = tables.store(_grouped(_sketched(docs, sk)))
+    tables.release()
     digests = found.where(F.col("kind") == DIGEST).select(F.col("sig").alias("doc_id"), "ref", F.col("band").alias("n_shingles"))
     groups, onward = found.where(F.col("kind") == ROW), found.where(F.col("kind") == FORWARD)
     members = digests.where("n_shingles > 0")
@@ -318,13 +330,14 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int, id_co
     def under_seeds(tasks: DataFrame, seed: int) -> DataFrame | None:
         """Groups of the tasks under this seed and, for sets with too many light words, those that follow."""
         out = None
-        while seed < SEEDS and tasks.limit(1).count():
-            got = tables.store(_grouped(_next_seed(tasks, texts, sk, seed)))
+        while seed < SEEDS and (size := tasks.count()):
+            got = tables.store(_grouped(_next_seed(F.broadcast(tasks) if size <= BROADCAST_SETS else tasks, texts, sk, seed)))
             own = got.where(F.col("kind") == ROW)
             out = own if out is None else out.unionByName(own)
             tasks, seed = got.where(F.col("kind") == FORWARD).select("sig", "ref", "band"), seed + 1
         return out
 
+    tables.release()
     more = under_seeds(onward.select("sig", "ref", "band"), 1)
     groups = (groups if more is None else groups.unionByName(more)).select("sig", "ref", "band", "rep")
 

@@ -70,7 +70,7 @@ def test_equal_words_bound_the_difference():
     rng = np.random.default_rng(1)
     sk = pj.Sketches(4, 85, 100)
     low = sk.bands(5000)
-    p_of, spare = sk.lengths(low)
+    p_of, spare, _ = sk.lengths(low)
     for i in range(len(low) - 1):
         a = int(low[i + 1]) - 1
         b = a * 100 // 85
