@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20          # text bytes worked on at once
+SLICE_BYTES = 1 << 20          # text bytes worked on at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)          # odd, so invertible modulo 2**64
 _PRIME_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones(1, np.uint64)
