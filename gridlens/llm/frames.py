@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,14 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let the driver collect its garbage now: shuffle files of finished jobs are deleted when
+        nothing refers to them, which otherwise can be long after they have filled disks."""
+        for _ in range(3):              # a plan is freed by one collection, what it alone referred to by the next
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.7)
+
     def clear(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
