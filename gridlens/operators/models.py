@@ -14,9 +14,10 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +54,44 @@ def held_out(df: DataFrame, features: Sequence[str], share: int = 5) -> DataFram
     return df.withColumn("is_validation", F.pmod(F.xxhash64(*features, F.lit(P.SEED)), F.lit(share)) == 0)
 
 
+def best_iteration(errors: Sequence[float], patience: int) -> int:
+    """Number of trees up to the least error; the search ends ``patience`` trees after
+    the last improvement.  Without errors to compare (no held-out rows) all trees."""
+    best = None
+    for m, e in enumerate(errors, 1):
+        if best is None and e == e or best is not None and e < errors[best - 1]:
+            best = m
+        elif best is not None and m - best >= patience:
+            break
+    return len(errors) if best is None else best
+
+
+def _first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    old = model._java_obj
+    if n == old.getNumTrees():
+        return model
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(old.trees())[:n], list(old.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    new = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        old.uid(), trees, weights, old.numFeatures()))
+    return model._copyValues(new)
+
+
 def train_gbt_early_stop(df: DataFrame, features: Sequence[str], target: str = "load",
-                         valid_col: str = "is_validation", tol: float = 0.01, **over) -> PipelineModel:
-    """Boosting monitored on the rows flagged ``valid_col``: training stops
-    when the validation error stops improving (the validated model is kept)."""
+                         valid_col: str = "is_validation", patience: int = P.GBT_PATIENCE, **over) -> PipelineModel:
+    """Boosting monitored on the rows flagged ``valid_col``, which it is not fitted
+    on: the model is kept up to the tree with the least validation error, looked for
+    until ``patience`` trees bring no better one.  (Spark's own ``validationTol``
+    stops at the first tree without enough improvement.)"""
     p = gbt_params(**over)
     p.setdefault("maxDepth", 5)
-    est = GBTRegressor(featuresCol=VEC, labelCol=target, validationIndicatorCol=valid_col,
-                       validationTol=tol, **p)
-    return _pipeline(features, est).fit(df)
+    est = GBTRegressor(featuresCol=VEC, labelCol=target, **p)
+    assembler, model = _pipeline(features, est).fit(df.filter(~F.col(valid_col))).stages
+    errors = model.evaluateEachIteration(assembler.transform(df.filter(F.col(valid_col))), "squared")
+    return PipelineModel([assembler, _first_trees(model, best_iteration(errors, patience))])
 
 
 def train_interval_model(df: DataFrame, point: PipelineModel, features: Sequence[str],
@@ -87,12 +117,9 @@ class TrainedModel:
 
 def train_model(df: DataFrame, features: Sequence[str], target: str = "load", with_interval: bool = True,
                 interval_trees: int = P.INTERVAL_TREES, interval_depth: int = P.INTERVAL_DEPTH,
-                early_stop: bool = False, **over) -> TrainedModel:
-    """Point model + interval model + training metrics (one aggregate).  With
-    ``early_stop`` boosting ends before its full number of trees where the error
-    on held-out rows has converged."""
-    point = train_gbt_early_stop(held_out(df, features), features, target, **over) if early_stop \
-        else train_gbt(df, features, target, **over)
+                **over) -> TrainedModel:
+    """Point model + interval model + training metrics (one aggregate)."""
+    point = train_gbt(df, features, target, **over)
     interval = train_interval_model(df, point, features, target, interval_trees, interval_depth) \
         if with_interval else None
     scored = point.transform(df).select(F.lit("train").alias("model"), F.col(target).alias("y"),

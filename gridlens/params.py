@@ -14,6 +14,7 @@ GBT_STEP = 0.1
 GBT_SUBSAMPLE = 0.8
 GBT_COLSAMPLE = 0.8
 GBT_MIN_CHILD = 3
+GBT_PATIENCE = 50
 SEED = 42
 INTERVAL_TREES = 100
 INTERVAL_DEPTH = 8
