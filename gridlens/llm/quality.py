@@ -3,9 +3,9 @@
 The text view sees the words; the metadata view sees language, source, length
 and the make-up of the page (lines and classes of characters).  Both are
 logistic regressions that start from a bounded sample of labelled rows.  In each
-round both score all documents, each passes its most confident unlabelled ones
-to the other as pseudo-labels, and both are fitted again.  Each view is then
-calibrated on labelled rows kept out of fitting, and a third regression on these
+round both score all unlabelled texts (copies count once), each passes all of which
+it is confident to the other as pseudo-labels, and both are fitted on, by gradients
+summed over the tasks.  Each view is then calibrated on labelled rows kept out of fitting, and a third regression on these
 rows combines the calibrated views, which scores all documents."""
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut_lineage
+from .frames import Tables, cut_lineage
 from .textvec import NOT_SPACE, flat, prefix_hash, range_hash, slices, words
 
 FIT_ROWS = 4000          # labelled rows in the sample; a quarter of them calibrate
-PICKS = 400              # pseudo-labels of each class a view passes on in a round
 SURE = 0.95              # calibrated probability from which a view is confident
 ROUNDS = 2
 TEXT_BITS, META_BITS = 18, 10
 STEPS, RATE, RIDGE = 120, 0.05, 1e-4
+SHARED_STEPS = 15        # of a round, on labelled rows and pseudo-labels
+POINT = 2.0 ** 32        # gradients are summed as whole numbers of 1 / POINT: in any order the same
+NO_ID = -2 ** 63
 
 
 def _classes() -> list[np.ndarray]:
@@ -96,6 +98,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+class Adam:
+    """Steps on arrays in place."""
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts, self.step = parts, 0
+        self.state = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
+
+    def move(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        for p, (m, s), d in zip(self.parts, self.state, grads):
+            m += 0.1 * (d - m)
+            s += 0.001 * (d * d - s)
+            p -= RATE * (m / (1 - 0.9 ** self.step)) / (np.sqrt(s / (1 - 0.999 ** self.step)) + 1e-9)
+
+
 def fit_view(f: Features, y: np.ndarray, bits: int) -> View:
     """Full-batch Adam on the ridge-penalised likelihood; the same rows give the same view."""
     n = len(y)
@@ -103,20 +119,22 @@ def fit_view(f: Features, y: np.ndarray, bits: int) -> View:
     dense = np.c_[(f.dense - mean) / scale, np.ones(n)]
     used, bucket = np.unique(f.bucket, return_inverse=True)
     parts = [np.zeros(len(used)), np.zeros(dense.shape[1])]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
-    for step in range(1, STEPS + 1):
+    adam = Adam(parts)
+    for _ in range(STEPS):
         z = np.bincount(f.row, weights=parts[0][bucket] * f.value, minlength=n) + dense @ parts[1]
         g = (sigmoid(z) - y) / n
-        grads = [np.bincount(bucket, weights=g[f.row] * f.value, minlength=len(used)) + RIDGE * parts[0], dense.T @ g + RIDGE * parts[1]]
-        for p, (m, s), d in zip(parts, state, grads):
-            m += 0.1 * (d - m)
-            s += 0.001 * (d * d - s)
-            p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-9)
+        adam.move([np.bincount(bucket, weights=g[f.row] * f.value, minlength=len(used)) + RIDGE * parts[0], dense.T @ g + RIDGE * parts[1]])
     weights = np.zeros(1 << bits)
     weights[used] = parts[0]
     return View(weights, mean, scale, parts[1])
 
 
+def slope_of(view: View, f: Features, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """The likelihood's gradient over rows of weight ``w``: of the buckets' weights and the dense ones."""
+    g = (sigmoid(view.raw(f)) - y) * w
+    return [np.bincount(f.bucket, weights=g[f.row] * f.value, minlength=len(view.weights)), np.c_[(f.dense - view.mean) / view.scale, np.ones(len(g))].T @ g]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton steps for a few columns and a constant (the last), towards smoothed labels."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -154,14 +172,8 @@ def _pick(f: Features, rows: np.ndarray) -> Features:
     return Features(place[f.row[keep]], f.bucket[keep], f.value[keep], f.dense[rows])
 
 
-def _join(parts: list[Features]) -> Features:
-    base = np.cumsum([0] + [len(p.dense) for p in parts])
-    return Features(np.concatenate([p.row + b for p, b in zip(parts, base)]), np.concatenate([p.bucket for p in parts]),
-                    np.concatenate([p.value for p in parts]), np.concatenate([p.dense for p in parts]))
-
-
-def _collected(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> tuple[Features, Features, dict[str, np.ndarray]]:
-    """Features of a bounded number of rows, on the driver; texts stay with the tasks."""
+def _featured(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> DataFrame:
+    """Features of the rows without their texts: ``extra``, tb, td, mb, md."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("_text")):
@@ -175,7 +187,27 @@ def _collected(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> tuple
                     pa.array(meta.dense.tolist(), pa.list_(pa.float64()))], [*extra, "tb", "td", "mb", "md"])
 
     schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra] + ["tb array<int>", "td array<double>", "mb array<int>", "md array<double>"])
-    got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: tuple((v is None, v or 0) for v in (r[c] for c in extra)))
+    return rows.mapInArrow(run, schema)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[Features, Features]:
+    """The features back from the columns of ``_featured``."""
+    def ragged(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(name)
+        return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+    n, parts = batch.num_rows, []
+    for buckets, dense, even in (("tb", "td", True), ("mb", "md", False)):
+        sizes, bucket = ragged(buckets)
+        row = np.repeat(np.arange(n), sizes)
+        value = (1 / np.sqrt(np.maximum(sizes, 1)))[row] if even else np.ones(len(row))
+        parts.append(Features(row, bucket.astype(np.int64), value, ragged(dense)[1].reshape(n, -1)))
+    return parts[0], parts[1]
+
+
+def _collected(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> tuple[Features, Features, dict[str, np.ndarray]]:
+    """Features of a bounded number of rows, on the driver; texts stay with the tasks."""
+    got = sorted(_featured(rows, meta_cols, extra).collect(), key=lambda r: tuple((v is None, v or 0) for v in (r[c] for c in extra)))
     sizes = np.array([len(r.tb) for r in got], int)
     text = Features(np.repeat(np.arange(len(got)), sizes), np.array([b for r in got for b in r.tb], np.int64),
                     np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes), np.array([r.td for r in got], float).reshape(len(got), 2))
@@ -184,6 +216,33 @@ def _collected(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> tuple
     return text, meta, {c: np.array([r[c] for r in got]) for c in extra}
 
 
+def _unlabelled(rows: DataFrame, labelled: DataFrame, meta_cols: list[str]) -> DataFrame:
+    """Features of each text of rows without a label, once: of the row with the least id.
+    Only features are shuffled, by id and text hash, so that copies do not meet."""
+    keyed = rows.withColumn("_k", F.coalesce("_id", F.lit(NO_ID)))
+    first = keyed.select("_id", "_k", "_h").join(labelled.select("_id"), "_id", "left_anti").groupBy("_h").agg(F.min("_k").alias("_k"))
+    return _featured(keyed, meta_cols, ["_k", "_h"]).join(first, ["_k", "_h"]).dropDuplicates(["_k", "_h"])
+
+
+def _summed(feats: DataFrame, size: int, fn) -> np.ndarray:
+    """The sum over all rows of ``fn`` (text features, metadata features) -> ``size`` whole numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += fn(*_read(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+
+    parts = feats.select("tb", "td", "mb", "md").mapInArrow(run, "sum binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
+    return parts.treeReduce(np.add) if parts.getNumPartitions() else np.zeros(size, np.int64)
+
+
+def _taught(z: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, weight) of the rows by the other view's logit; an unsure row weighs nothing."""
+    sure = float(np.log(SURE / (1 - SURE)))
+    return (z > 0).astype(float), np.where(z >= sure, weight[1], np.where(z <= -sure, weight[0], 0.0))
+
+
 def _features(batch: pa.RecordBatch, meta_cols: list[str]) -> tuple[Features, Features]:
     data, offsets = flat(batch.column("_text"))
     return text_features(data, offsets), meta_features(data, offsets, [batch.column(f"_m{j}").to_pylist() for j in range(len(meta_cols))])
@@ -200,19 +259,54 @@ def _scored(rows: DataFrame, model, meta_cols: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "_id long, _h long, zt double, zm double, z double")
 
 
-def _combined(text: tuple[Features, np.ndarray], meta: tuple[Features, np.ndarray], held: tuple[Features, Features, np.ndarray]) -> Model:
-    """Fit both views, calibrate each on the held-out rows, and combine them there."""
-    views = [fit_view(*text, TEXT_BITS), fit_view(*meta, META_BITS)]
+def _combined(views: list[View], held: tuple[Features, Features, np.ndarray]) -> Model:
+    """Calibrate both views on the held-out rows and combine them there."""
     for view, f in zip(views, held):
         view.slope, view.shift = fit_logistic(view.raw(f)[:, None], held[2])
     logits = np.stack([v.logit(f) for v, f in zip(views, held)], 1)
     return Model(*views, fit_logistic(logits, held[2]))
 
 
+def _taught_views(feats: DataFrame, model: Model, own: tuple[Features, Features, np.ndarray], picks: float) -> list[View]:
+    """Both views fitted on, on the labelled rows and on all pseudo-labels that the other
+    view of ``model`` gives; those of a class weigh as much as ``picks`` labelled rows at most."""
+    spark, y = feats.sparkSession, own[2]
+    views = [View(v.weights.copy(), v.mean, v.scale, v.dense.copy()) for v in (model.text, model.meta)]
+    teacher = spark.sparkContext.broadcast(model)
+
+    def count(*f: Features) -> np.ndarray:
+        told = [_taught(z, np.ones(2)) for z in (teacher.value.meta.logit(f[1]), teacher.value.text.logit(f[0]))]
+        return np.array([((label == c) & (w > 0)).sum() for label, w in told for c in (0, 1)], np.int64)
+
+    counts = _summed(feats, 4, count).reshape(2, 2)
+    if not counts.any():
+        return views
+    weight = np.minimum(1, picks / np.maximum(counts, 1))
+    total = len(y) + (weight * counts).sum(1)
+    shapes = [len(v.weights) for v in views], [len(v.dense) for v in views]
+    ends = np.cumsum([shapes[0][0], shapes[1][0], shapes[0][1], shapes[1][1]])
+    steps = [Adam([v.weights, v.dense]) for v in views]
+    for _ in range(SHARED_STEPS):
+        now = spark.sparkContext.broadcast(views)
+
+        def gradient(*f: Features) -> np.ndarray:
+            told = teacher.value.meta.logit(f[1]), teacher.value.text.logit(f[0])
+            parts = [p for view, own_f, z, w in zip(now.value, f, told, weight) for p in slope_of(view, own_f, *_taught(z, w))]
+            return np.rint(np.concatenate(parts) * POINT).astype(np.int64)
+
+        sums = np.split(_summed(feats, int(ends[-1]), gradient) / POINT, ends[:-1])
+        for j, (view, adam) in enumerate(zip(views, steps)):
+            labelled = slope_of(view, own[j], y, np.ones(len(y)))
+            adam.move([(a + b) / total[j] + RIDGE * p for a, b, p in zip(sums[2 * j:], labelled, adam.parts)])
+        now.destroy()
+    return views
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str,
-          fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, picks: int = PICKS) -> tuple[DataFrame, Model]:
+          fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, picks: float | None = None) -> tuple[DataFrame, Model]:
     """(rows to score, model).  The driver holds the weights and the features of at most
-    ``fit_rows`` + 4 * ``rounds`` * ``picks`` rows; candidates for pseudo-labels are all documents."""
+    ``fit_rows`` labelled rows.  All sure unlabelled texts are pseudo-labels; those of a class
+    weigh together as much as ``picks`` labelled rows at most (None: half of the labelled ones)."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        *[F.col(c).cast("string").alias(f"_m{j}") for j, c in enumerate(meta_cols)])
     rows = rows.withColumn("_h", F.xxhash64("_text"))
@@ -230,25 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_c
     if len(set(y[own].tolist())) < 2:
         own = np.arange(len(y))
     out = _pick(text, held), _pick(meta, held), y[held]
-    for_text, for_meta = [(_pick(text, own), y[own])], [(_pick(meta, own), y[own])]
-
-    def fitted() -> Model:
-        return _combined(*[(_join([f for f, _ in p]), np.concatenate([v for _, v in p])) for p in (for_text, for_meta)], out)
-
-    model, sure = fitted(), float(np.log(SURE / (1 - SURE)))
-    for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-        scored = cut_lineage(_scored(rows, sent, meta_cols).join(known.select("_id"), "_id", "left_anti"))
-        for z, gets in (("zt", for_meta), ("zm", for_text)):
-            found = []
-            for good, order in ((1, F.col(z).desc()), (0, F.col(z).asc())):
-                best = scored.where(F.col(z) >= sure if good else F.col(z) <= -sure).orderBy(order, "_id", "_h").limit(picks)
-                found.append(best.select("_id", "_h", F.lit(good).alias("_y")))
-            chosen = F.broadcast(cut_lineage(found[0].unionByName(found[1]).dropDuplicates(["_id", "_h"])).withColumnsRenamed({"_id": "i", "_h": "g"}))   # at most 2 * picks rows
-            t, m, picked = _collected(rows.join(chosen, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("g"))).dropDuplicates(["_id", "_h"]), meta_cols, ["_id", "_h", "_y"])
-            if len(t.dense):
-                gets.append((m if gets is for_meta else t, picked["_y"].astype(float)))
-        model = fitted()
+    base = _pick(text, own), _pick(meta, own), y[own]
+    model = _combined([fit_view(base[0], base[2], TEXT_BITS), fit_view(base[1], base[2], META_BITS)], out)
+    if rounds:
+        tables = Tables(docs.sparkSession)
+        feats = tables.store(_unlabelled(rows, one, meta_cols))
+        for _ in range(rounds):
+            model = _combined(_taught_views(feats, model, base, len(own) / 2 if picks is None else picks), out)
+        tables.clear()
     return rows, model
 
 

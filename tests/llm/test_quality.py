@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from gridlens.llm.quality import fit_logistic, keep_good, quality_scores, sigmoid
+from pyspark.sql import functions as F
+
+from gridlens.llm.quality import _summed, _unlabelled, fit_logistic, keep_good, quality_scores, sigmoid
 
 
 def made(rng, i):
@@ -56,3 +58,27 @@ def test_given_labels_held_out(spark):
     good = [r.keep for r in got if r.quality == 1]
     bad = [not r.keep for r in got if r.quality == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) > 0.7
+
+
+def test_pseudo_labels_come_from_each_unlabelled_text_once(spark, docs):
+    """500 copies of one text, repeated rows, null ids and labelled rows beyond the sample."""
+    rows = [(i, "the same text") for i in range(500)] + [(600 + i, f"text number {i}") for i in range(40)] + [(640, "twice"), (640, "twice"), (None, "none"), (None, "none")]
+    df = docs(rows).selectExpr("doc_id as _id", "text as _text", "lang as _m0").withColumn("_h", F.xxhash64("_text"))
+    labelled = spark.createDataFrame([(i,) for i in [0, 1, 600, 601]], "_id long")
+    feats = _unlabelled(df, labelled, ["lang"])
+    got = sorted(r["_k"] for r in feats.collect())
+    assert got == [-2 ** 63, 2, *range(602, 641)]
+    assert _summed(feats, 2, lambda t, m: np.array([len(t.dense), m.bucket.size])).tolist() == [41, 41]
+
+
+def test_all_sure_texts_teach(spark, docs, corpus, monkeypatch):
+    """No bound on the documents that pass on labels: each view hears of all sure ones."""
+    from gridlens.llm import quality as Q
+    seen, summed = [], Q._summed
+    monkeypatch.setattr(Q, "_summed", lambda f, n, fn: seen.append((n, summed(f, n, fn))) or seen[-1][1])
+    copies = [(5000 + i, corpus[4][1]) for i in range(450)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(200)], "doc_id long, quality int")
+    got = quality_scores(docs(corpus + copies), labels, fit_rows=150).collect()
+    counts = np.array([v for n, v in seen if n == 4]).reshape(-1, 2, 2)      # round, view, class
+    assert counts[-1].max() > 400 and counts[:, :, 0].max() <= 175 + 1, counts
+    assert np.mean([r.keep == (r.doc_id % 4 != 0) for r in got if 200 <= r.doc_id < 5000]) > 0.98
