@@ -22,7 +22,7 @@ SHARD_BYTES = 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier, fitted on ``labels``, does not reject."""
+    """Documents that the co-trained classifiers, fitted on ``labels``, reject neither as bad nor as toxic."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 

@@ -1,4 +1,4 @@
-"""Quality classification by co-training two views of a document.
+"""Quality and toxicity classification by co-training two views of a document.
 
 The text view sees the words; the metadata view sees language, source, length
 and the make-up of the page (lines and classes of characters).  Both are
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ TEXT_BITS, META_BITS = 18, 10
 STEPS, RATE, RIDGE = 120, 0.05, 1e-4
 SHARED_STEPS = 15        # of a round, on labelled rows and pseudo-labels
 POINT = 2.0 ** 32        # gradients are summed as whole numbers of 1 / POINT: in any order the same
+APART = 4                # standard errors
 NO_ID = -2 ** 63
 
 
@@ -84,9 +86,16 @@ class View:
     dense: np.ndarray            # the last is the constant
     slope: float = 1.0
     shift: float = 0.0
+    chosen: np.ndarray | None = None     # the only buckets it sees, whatever a text's length (None: all, by their values)
+
+    def seen(self, f: Features) -> Features:
+        if self.chosen is None:
+            return f
+        keep = self.chosen[f.bucket]
+        return Features(f.row[keep], f.bucket[keep], np.ones(keep.sum()), f.dense)
 
     def raw(self, f: Features) -> np.ndarray:
-        n = len(f.dense)
+        n, f = len(f.dense), self.seen(f)
         z = np.bincount(f.row, weights=self.weights[f.bucket] * f.value, minlength=n)
         return z + (f.dense - self.mean) / self.scale @ self.dense[:-1] + self.dense[-1]
 
@@ -129,8 +138,24 @@ def fit_view(f: Features, y: np.ndarray, bits: int) -> View:
     return View(weights, mean, scale, parts[1])
 
 
+def telling(f: Features, y: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of three or more rows whose share of label 1 lies ``APART`` standard errors from that of all rows: a few
+    words in a long text tell that it is toxic, and would be lost among all others."""
+    rows, ones = np.bincount(f.bucket, minlength=1 << bits), np.bincount(f.bucket, weights=y[f.row], minlength=1 << bits)
+    return (rows >= 3) & (np.abs(ones - rows * y.mean()) >= APART * np.sqrt(rows * y.mean() * (1 - y.mean())))
+
+
+def words_view(f: Features, y: np.ndarray, bits: int) -> View:
+    """A view of the telling buckets only."""
+    view = View(np.zeros(1 << bits), np.zeros(2), np.ones(2), np.zeros(3), chosen=telling(f, y, bits))
+    fitted = fit_view(view.seen(f), y, bits)
+    fitted.chosen = view.chosen
+    return fitted
+
+
 def slope_of(view: View, f: Features, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     """The likelihood's gradient over rows of weight ``w``: of the buckets' weights and the dense ones."""
+    f = view.seen(f)
     g = (sigmoid(view.raw(f)) - y) * w
     return [np.bincount(f.bucket, weights=g[f.row] * f.value, minlength=len(view.weights)), np.c_[(f.dense - view.mean) / view.scale, np.ones(len(g))].T @ g]
 
@@ -216,6 +241,12 @@ def _collected(rows: DataFrame, meta_cols: list[str], extra: list[str]) -> tuple
     return text, meta, {c: np.array([r[c] for r in got]) for c in extra}
 
 
+def _label(labels: DataFrame, col: str) -> DataFrame:
+    """(_id, _y): the least label of each id; none where there is no such column."""
+    label = F.col(col) if col in labels.columns else F.lit(None)
+    return labels.select(F.col("doc_id").cast("long").alias("_id"), label.cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.min("_y").alias("_y"))
+
+
 def _unlabelled(rows: DataFrame, labelled: DataFrame, meta_cols: list[str]) -> DataFrame:
     """Features of each text of rows without a label, once: of the row with the least id.
     Only features are shuffled, by id and text hash, so that copies do not meet."""
@@ -248,15 +279,15 @@ def _features(batch: pa.RecordBatch, meta_cols: list[str]) -> tuple[Features, Fe
     return text_features(data, offsets), meta_features(data, offsets, [batch.column(f"_m{j}").to_pylist() for j in range(len(meta_cols))])
 
 
-def _scored(rows: DataFrame, model, meta_cols: list[str]) -> DataFrame:
+def _scored(rows: DataFrame, models, meta_cols: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("_text")):
                 part = batch.slice(a, b - a)
-                zs = model.value.scores(*_features(part, meta_cols))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), *[pa.array(z) for z in zs]], ["_id", "_h", "zt", "zm", "z"])
+                good, toxic = [m.scores(*features) for features in [_features(part, meta_cols)] for m in models.value]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), *[pa.array(z) for z in (*good, toxic[2])]], ["_id", "_h", "zt", "zm", "z", "zx"])
 
-    return rows.mapInArrow(run, "_id long, _h long, zt double, zm double, z double")
+    return rows.mapInArrow(run, "_id long, _h long, zt double, zm double, z double, zx double")
 
 
 def _combined(views: list[View], held: tuple[Features, Features, np.ndarray]) -> Model:
@@ -271,7 +302,7 @@ def _taught_views(feats: DataFrame, model: Model, own: tuple[Features, Features,
     """Both views fitted on, on the labelled rows and on all pseudo-labels that the other
     view of ``model`` gives; those of a class weigh as much as ``picks`` labelled rows at most."""
     spark, y = feats.sparkSession, own[2]
-    views = [View(v.weights.copy(), v.mean, v.scale, v.dense.copy()) for v in (model.text, model.meta)]
+    views = [View(v.weights.copy(), v.mean, v.scale, v.dense.copy(), chosen=v.chosen) for v in (model.text, model.meta)]
     teacher = spark.sparkContext.broadcast(model)
 
     def count(*f: Features) -> np.ndarray:
@@ -302,65 +333,70 @@ def _taught_views(feats: DataFrame, model: Model, own: tuple[Features, Features,
     return views
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str,
-          fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, picks: float | None = None) -> tuple[DataFrame, Model]:
-    """(rows to score, model).  The driver holds the weights and the features of at most
-    ``fit_rows`` labelled rows.  All sure unlabelled texts are pseudo-labels; those of a class
-    weigh together as much as ``picks`` labelled rows at most (None: half of the labelled ones)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str, toxic_col: str,
+          fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, picks: float | None = None) -> tuple[DataFrame, list[Model]]:
+    """(rows to score, the models of ``label_col`` and ``toxic_col``).  The driver holds the weights and the
+    features of at most ``fit_rows`` labelled rows a model.  All sure texts of ids without any label
+    are pseudo-labels; those of a class weigh together as much as ``picks`` labelled rows at most
+    (None: half of the labelled ones)."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        *[F.col(c).cast("string").alias(f"_m{j}") for j, c in enumerate(meta_cols)])
     rows = rows.withColumn("_h", F.xxhash64("_text"))
-    one = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_y"))
-    sample = cut_lineage(one.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
-    known = F.broadcast(sample)                                    # at most fit_rows rows
-    text, meta, got = _collected(rows.join(known, "_id"), meta_cols, ["_id", "_h", "_y"])
-    y = got["_y"].astype(float)
-    if len(set(y.tolist())) < 2 or min(y.sum(), (1 - y).sum()) < 4:
-        return rows, _flat_model((y.sum() + 1) / (len(y) + 2))
-    held = np.flatnonzero([zlib.crc32(str(i).encode()) % 4 == 0 for i in got["_id"].tolist()])
-    if len(set(y[held].tolist())) < 2:
-        held = np.arange(len(y))
-    own = np.setdiff1d(np.arange(len(y)), held) if len(held) < len(y) else held
-    if len(set(y[own].tolist())) < 2:
-        own = np.arange(len(y))
-    out = _pick(text, held), _pick(meta, held), y[held]
-    base = _pick(text, own), _pick(meta, own), y[own]
-    model = _combined([fit_view(base[0], base[2], TEXT_BITS), fit_view(base[1], base[2], META_BITS)], out)
-    if rounds:
+    given = [_label(labels, c) for c in (label_col, toxic_col)]
+    models, bases = [], {}
+    for k, (one, text_view) in enumerate(zip(given, (fit_view, words_view))):
+        known = F.broadcast(cut_lineage(one.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)))      # at most fit_rows rows
+        text, meta, got = _collected(rows.join(known, "_id"), meta_cols, ["_id", "_h", "_y"])
+        y = got["_y"].astype(float)
+        if len(set(y.tolist())) < 2 or min(y.sum(), (1 - y).sum()) < 4:
+            models.append(_flat_model((y.sum() + 1) / (len(y) + 2)))
+            continue
+        held = np.flatnonzero([zlib.crc32(str(i).encode()) % 4 == 0 for i in got["_id"].tolist()])
+        if len(set(y[held].tolist())) < 2:
+            held = np.arange(len(y))
+        own = np.setdiff1d(np.arange(len(y)), held) if len(held) < len(y) else held
+        if len(set(y[own].tolist())) < 2:
+            own = np.arange(len(y))
+        out, base = [(_pick(text, at), _pick(meta, at), y[at]) for at in (held, own)]
+        models.append(_combined([text_view(base[0], base[2], TEXT_BITS), fit_view(base[1], base[2], META_BITS)], out))
+        bases[k] = base, out
+    if rounds and bases:
         tables = Tables(docs.sparkSession)
-        feats = tables.store(_unlabelled(rows, one, meta_cols))
-        for _ in range(rounds):
-            model = _combined(_taught_views(feats, model, base, len(own) / 2 if picks is None else picks), out)
+        feats = tables.store(_unlabelled(rows, reduce(DataFrame.unionByName, given), meta_cols))
+        for k, (base, out) in bases.items():
+            for _ in range(rounds):
+                models[k] = _combined(_taught_views(feats, models[k], base, len(base[2]) / 2 if picks is None else picks), out)
         tables.clear()
-    return rows, model
+    return rows, models
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: list[str] | None = None,
-                   label_col: str = "quality", keep_from: float = 0.5, **fit) -> DataFrame:
-    """One row per input row: doc_id, text_hash, text_score, meta_score, score (0 to 1) and keep (score >= ``keep_from``).
+                   label_col: str = "quality", keep_from: float = 0.5, toxic_col: str = "toxic", **fit) -> DataFrame:
+    """One row per input row: doc_id, text_hash, text_score, meta_score, score (0 to 1), keep (score >= ``keep_from``),
+    toxic_score (0 to 1) and toxic (toxic_score > 0.5).  Quality and toxicity are judged apart: a kept row can be toxic.
 
-    ``labels`` has doc_id and ``label_col`` (1 good, 0 bad; the least counts where an id
-    is labelled twice).  A null text is scored as empty, null metadata as a value of its
+    ``labels`` has doc_id, ``label_col`` (1 good, 0 bad) and perhaps ``toxic_col`` (1 toxic, 0 clean); the least counts
+    where an id is labelled twice.  A null text is scored as empty, null metadata as a value of its
     own; null ids and repeated rows keep their rows.  Without labels of both classes all
-    rows get the smoothed share of good labels (0.5 without labels, which keeps them).  An
+    rows get the smoothed share of good or toxic labels (0.5 without labels, which keeps them).  An
     empty table gives an empty one."""
     meta_cols = ["lang", "source"] if meta_cols is None else meta_cols
-    rows, model = train(docs, labels, id_col, text_col, meta_cols, label_col, **fit)
-    scored = _scored(rows, docs.sparkSession.sparkContext.broadcast(model), meta_cols)
+    rows, models = train(docs, labels, id_col, text_col, meta_cols, label_col, toxic_col, **fit)
+    scored = _scored(rows, docs.sparkSession.sparkContext.broadcast(models), meta_cols)
 
     def share(z: str):
         return 1 / (1 + F.exp(-F.col(z)))
     return scored.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), share("zt").alias("text_score"), share("zm").alias("meta_score"),
-                         share("z").alias("score"), (share("z") >= keep_from).alias("keep"))
+                         share("z").alias("score"), (share("z") >= keep_from).alias("keep"), share("zx").alias("toxic_score"), (F.col("zx") > 0).alias("toxic"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: list[str] | None = None,
-              label_col: str = "quality", keep_from: float = 0.5, **fit) -> DataFrame:
-    """The documents, with all their columns, whose score reaches ``keep_from``; texts are
+              label_col: str = "quality", keep_from: float = 0.5, toxic_col: str = "toxic", **fit) -> DataFrame:
+    """The documents, with all their columns, whose score reaches ``keep_from`` and which are not toxic; texts are
     not shuffled: the rows are judged where they are read."""
     meta_cols = ["lang", "source"] if meta_cols is None else meta_cols
-    _, model = train(docs, labels, id_col, text_col, meta_cols, label_col, **fit)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    _, models = train(docs, labels, id_col, text_col, meta_cols, label_col, toxic_col, **fit)
+    sent = docs.sparkSession.sparkContext.broadcast(models)
     level = float(np.log(keep_from / (1 - keep_from)))
     names = docs.columns
 
@@ -370,7 +406,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 part = batch.slice(a, b - a)
                 own = pa.RecordBatch.from_arrays([part.column(names.index(text_col)), *[part.column(names.index(c)).cast(pa.string()) for c in meta_cols]],
                                                  ["_text", *[f"_m{j}" for j in range(len(meta_cols))]])
-                z = sent.value.scores(*_features(own, meta_cols))[2]
-                yield part.filter(pa.array(z >= level))
+                features = _features(own, meta_cols)
+                good, toxic = [m.scores(*features)[2] for m in sent.value]
+                yield part.filter(pa.array((good >= level) & ~(toxic > 0)))
 
     return docs.mapInArrow(run, docs.schema)

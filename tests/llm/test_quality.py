@@ -82,3 +82,15 @@ def test_all_sure_texts_teach(spark, docs, corpus, monkeypatch):
     counts = np.array([v for n, v in seen if n == 4]).reshape(-1, 2, 2)      # round, view, class
     assert counts[-1].max() > 400 and counts[:, :, 0].max() <= 175 + 1, counts
     assert np.mean([r.keep == (r.doc_id % 4 != 0) for r in got if 200 <= r.doc_id < 5000]) > 0.98
+
+
+def test_toxic_labels_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    few, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    scored = quality_scores(docs, few).cache()
+    got = scored.select("doc_id", F.col("toxic").alias("found")).join(held, "doc_id").collect()
+    assert np.mean([r.found for r in got if r.toxic == 1]) > 0.4          # of 182 labels, 16 are toxic
+    assert np.mean([not r.found for r in got if r.toxic == 0]) > 0.97
+    kept = sorted(r.doc_id for r in keep_good(docs, few).select("doc_id").collect())
+    assert kept == sorted(r.doc_id for r in scored.collect() if r.keep and not r.toxic)
