@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import explain as X
@@ -25,7 +26,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from .registry import register, round6
 
-CANDIDATES = ("gbt_early_stop", "forest")
+CANDIDATES = ("gbt", "gbt_early_stop", "forest")
 FEATURES = feat.FEATURES
 _CACHE: dict = {}
 
@@ -99,7 +100,7 @@ def q_train_all(spark, sf_dir):
     te = _test(spark, sf_dir)
     parts = [m.transform(te).select(F.lit(n).alias("model"), "row_id", F.col("load").alias("y"),
                                     F.col("prediction").alias("yhat")) for n, m in models.items()]
-    return round6(parts[0].unionByName(parts[1]))
+    return round6(reduce(DataFrame.unionByName, parts))
 
 
 @register("predict_batch")
@@ -153,7 +154,7 @@ def q_cross_validate(spark, sf_dir):
 
 def _cv(fe):
     parts = [M.cross_validate(fe, FEATURES, n_splits=5, model_type=m) for m in CANDIDATES]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _cv_avg(spark, sf_dir):
@@ -197,7 +198,7 @@ def q_ensemble_importance(spark, sf_dir):
     tr = fe.filter(F.col("split") == "train")
     models = M.train_all_models(tr, FEATURES, models=CANDIDATES)
     parts = [M.feature_importance(m, FEATURES).withColumn("model", F.lit(n)) for n, m in models.items()]
-    return round6(parts[0].unionByName(parts[1]))
+    return round6(reduce(DataFrame.unionByName, parts))
 
 
 @register("model_store")

@@ -46,3 +46,10 @@ def test_early_stopped_model_has_the_least_validation_error(spark):
     got = pm.transform(valid).agg(F.avg((F.col("load") - F.col("prediction")) ** 2)).first()[0]
     assert abs(got - errors[best]) < 1e-9
     assert kept.numFeatures == 2 and len(M.feature_importance(pm, ["a", "b"]).collect()) == 2
+
+
+def test_all_three_candidates_are_compared(spark, small):
+    rows = Q.q_train_all(spark, SF001).groupBy("model").count().collect()
+    assert {r.model for r in rows} == {"gbt", "gbt_early_stop", "forest"}
+    assert len({r["count"] for r in rows}) == 1
+    assert {r.model for r in Q.q_ensemble_importance(spark, SF001).select("model").distinct().collect()} == {"gbt", "gbt_early_stop", "forest"}
