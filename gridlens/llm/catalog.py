@@ -9,6 +9,7 @@ from .decontaminate import benchmark_hits
 from .fingerprints import fingerprint_edits
 from .frames import table
 from .license_scan import license_scan
+from .merkle import manifest_sql, tampered_text, verify
 from .mixing import mix_counts
 from .parity_join import similarity_components
 from .quality import quality_scores
@@ -74,6 +75,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+@register("op12_merkle", manifest_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(table(spark, sf_dir, "documents"), tampered_text())
+
+
 def queries():
     return dict(registry.QUERIES)
 
