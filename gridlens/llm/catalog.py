@@ -16,6 +16,7 @@ from .quality import quality_scores
 from .registry import register
 from .repeated_spans import removed_spans
 from .sharding import shard, shard_sql
+from .simhash_tiles import simhash_components
 from .token_counts import token_counts
 from .url_filter import url_filter
 
@@ -80,6 +81,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(table(spark, sf_dir, "documents"), tampered_text())
 
 
+@register("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(registry.QUERIES)
 
