@@ -12,6 +12,7 @@ from .license_scan import license_scan
 from .merkle import manifest_sql, tampered_text, verify
 from .mixing import mix_counts
 from .parity_join import similarity_components
+from .prefix_trie import prefix_trie, trie_sql
 from .quality import quality_scores
 from .registry import register
 from .repeated_spans import removed_spans
@@ -76,6 +77,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+@register("op11_prefix_trie", trie_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @register("op12_merkle", manifest_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(table(spark, sf_dir, "documents"), tampered_text())
