@@ -3,10 +3,9 @@ values, expected value), global SHAP summaries, Friedman H, LIME local
 surrogates, partial dependence (1-D, 2-D, bootstrap CI) and ICE curves.
 
 TreeSHAP runs in ``mapInPandas``: the fitted trees are read once from the
-saved model (a model-sized table), broadcast, and every Arrow batch of
-rows is explained with a numpy implementation vectorised across the rows
-of the batch (the recursion over the tree is the same for every row; only
-the hot/cold fractions differ).  PDP / ICE / LIME predictions are one
+saved model (a model-sized table) and turned into per-leaf tables of the
+Shapley values of every pattern of met splits (``leaf_tables``), which are
+broadcast; a row costs one pattern and a few look-ups a leaf.  PDP / ICE / LIME predictions are one
 ``crossJoin`` with a bounded grid + one ``model.transform`` (JVM)."""
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..session import ensure_checkpoint_dir
+from . import leaf_tables as leaf
 from . import ranking as rk
 
 # ---------------------------------------------------------------- tree tables
@@ -83,103 +83,60 @@ def expected_value(trees: list[Tree]) -> float:
     return total
 
 
-# -------------------------------------------------------- vectorised TreeSHAP
-
-def _extend(pw, zero, one, feat, pz, po, pi):
-    n_rows = po.shape[0]
-    l = len(pw)
-    pw = [w.copy() for w in pw] + [np.ones(n_rows) if l == 0 else np.zeros(n_rows)]
-    zero, one, feat = zero + [pz], one + [po], feat + [pi]
-    for i in range(l - 1, -1, -1):
-        pw[i + 1] = pw[i + 1] + po * pw[i] * (i + 1) / (l + 1)
-        pw[i] = pz * pw[i] * (l - i) / (l + 1)
-    return pw, zero, one, feat
-
-
-def _unwind(pw, zero, one, feat, i):
-    l = len(pw) - 1
-    o, z = one[i], zero[i]
-    nz = o != 0
-    o_safe = np.where(nz, o, 1.0)
-    nxt = pw[l].copy()
-    out = [w.copy() for w in pw[:l]]
-    for j in range(l - 1, -1, -1):
-        a = nxt * (l + 1) / ((j + 1) * o_safe)
-        b = out[j] * (l + 1) / (z * (l - j)) if z != 0 else np.zeros_like(out[j])
-        nxt = np.where(nz, out[j] - a * z * (l - j) / (l + 1), nxt)
-        out[j] = np.where(nz, a, b)
-    return out, zero[:i] + zero[i + 1:], one[:i] + one[i + 1:], feat[:i] + feat[i + 1:]
-
-
-def _unwound_sum(pw, o, z):
-    l = len(pw) - 1
-    nz = o != 0
-    o_safe = np.where(nz, o, 1.0)
-    nxt = pw[l]
-    tot_o = np.zeros_like(nxt)
-    tot_z = np.zeros_like(nxt)
-    for j in range(l - 1, -1, -1):
-        a = nxt * (l + 1) / ((j + 1) * o_safe)
-        tot_o = tot_o + a
-        nxt = pw[j] - a * z * (l - j) / (l + 1)
-        if z != 0:
-            tot_z = tot_z + pw[j] / (z * (l - j) / (l + 1))
-    return np.where(nz, tot_o, tot_z)
-
-
-def tree_shap(X: np.ndarray, trees: list[Tree], cond: int = 0, cond_feature: int = -1) -> np.ndarray:
-    """SHAP values ``(n_rows, n_features)`` of the ensemble for rows ``X``.
-
-    ``cond`` = +1 / -1 fixes ``cond_feature`` on / off (conditional values
-    used for interaction effects); 0 = plain values."""
-    n, m = X.shape
-    phi = np.zeros((n, m + 1))
-    for t in trees:
-        def recurse(node, pw, zero, one, feat, pz, po, pi, cf):
-            if cond == 0 or pi != cond_feature:
-                pw, zero, one, feat = _extend(pw, zero, one, feat, pz, po, pi)
-            if t.left[node] < 0:
-                val = t.value[node] * t.weight
-                for i in range(1, len(pw)):
-                    w = _unwound_sum(pw, one[i], zero[i])
-                    phi[:, feat[i]] += w * (one[i] - zero[i]) * val * cf
-                return
-            d = int(t.feature[node])
-            go_left = (X[:, d] <= t.threshold[node]).astype(np.float64)
-            iz, io = 1.0, np.ones(n)
-            if d in feat[1:]:
-                k = feat.index(d, 1)
-                iz, io = zero[k], one[k]
-                pw, zero, one, feat = _unwind(pw, zero, one, feat, k)
-            lc, rc = int(t.left[node]), int(t.right[node])
-            rl, rr = t.cover[lc] / t.cover[node], t.cover[rc] / t.cover[node]
-            cl = cr = cf
-            if cond > 0 and d == cond_feature:
-                cl, cr = cf * go_left, cf * (1.0 - go_left)
-            elif cond < 0 and d == cond_feature:
-                cl, cr = cf * rl, cf * rr
-            if np.any(cl != 0):
-                recurse(lc, pw, zero, one, feat, iz * rl, io * go_left, d, cl)
-            if np.any(cr != 0):
-                recurse(rc, pw, zero, one, feat, iz * rr, io * (1.0 - go_left), d, cr)
-        recurse(0, [], [], [], [], 1.0, np.ones(n), -1, np.ones(n))
-    return phi[:, :m]
-
-
-def shap_interaction_matrix(X: np.ndarray, trees: list[Tree], features: Sequence[int] | None = None) -> np.ndarray:
-    """Interaction values ``(n, m, m)``: off-diagonal
-    ``(phi_i | j on - phi_i | j off) / 2``, diagonal = ``phi_i`` minus the
-    row's off-diagonal sum (all m features are conditioned on)."""
-    n, m = X.shape
-    phi = tree_shap(X, trees)
-    out = np.zeros((n, m, m))
-    for j in (features if features is not None else range(m)):
-        on = tree_shap(X, trees, 1, j)
-        off = tree_shap(X, trees, -1, j)
-        out[:, :, j] = (on - off) / 2.0
-        out[:, j, j] = 0.0
-    for i in range(m):
-        out[:, i, i] = phi[:, i] - (out[:, i, :].sum(axis=1) - out[:, i, i])
+# ----------------------------------------------------------- Shapley columns
+
+#: Bytes of leaf tables up to which they are made once on the driver and broadcast; larger
+#: models make each tree's tables where they are used, a batch at a time.
+TABLE_BYTES = 64 << 20
+
+
+@dataclass
+class LeafModel:
+    """An ensemble ready to give the asked Shapley columns: made tables, or only the leaves' paths."""
+
+    paths: list
+    columns: dict
+    made: list | None
+
+    def values(self, X: np.ndarray) -> np.ndarray:
+        """(rows, columns) for the rows ``X``; a row without a split on a column's features has 0."""
+        out = np.zeros((len(X), len(self.columns)))
+        for i, p in enumerate(self.paths):
+            leaf.add_values(out, X, self.made[i] if self.made else leaf.tables(p, self.columns))
+        return out
+
+
+def leaf_model(trees: list[Tree], columns: Sequence[tuple[int, ...]]) -> LeafModel:
+    """Tabulate the trees' leaves for the asked columns: (i,) is the value of feature i, (i, i) its
+    main effect, (i, j) with i < j an interaction (see ``leaf_tables``)."""
+    wanted = {c: k for k, c in enumerate(columns)}
+    paths = [leaf.paths(t) for t in trees]
+    if any(p.width > leaf.MAX_FEATURES for p in paths):
+        raise ValueError(f"a path has more than {leaf.MAX_FEATURES} features; tables would have 2^features rows a leaf")
+    entries = sum(len(p.value) * p.width * (1 + (len(wanted) > len(paths[0].value))) * (8 << p.width) for p in paths)
+    if entries > TABLE_BYTES:
+        return LeafModel(paths, wanted, None)
+    made = [leaf.tables(p, wanted) for p in paths]
+    return LeafModel(paths, wanted, made)
+
+
+def tree_shap(X: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """SHAP values ``(n_rows, n_features)`` of the ensemble for rows ``X``."""
+    return leaf_model(trees, [(i,) for i in range(X.shape[1])]).values(X)
+
+
+def interaction_columns(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    return sorted({(min(a, b), max(a, b)) for a, b in pairs})
+
+
+def shap_interaction_matrix(X: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """Interaction values ``(n, m, m)``: symmetric, and each row sums to the feature's SHAP value."""
+    m = X.shape[1]
+    columns = interaction_columns([(i, j) for i in range(m) for j in range(m)])
+    v = leaf_model(trees, columns).values(X)
+    out = np.zeros((len(X), m, m))
+    for k, (i, j) in enumerate(columns):
+        out[:, i, j] = out[:, j, i] = v[:, k]
     return out
 
 
@@ -193,20 +150,19 @@ def tree_shap_table(pm: PipelineModel, df: DataFrame, features: Sequence[str], r
     """Long SHAP table ``(row_id, feature, shap_value, feature_value,
     direction, abs_contribution, rank)``; rank by |value| desc per row.
 
-    Batches of rows are explained inside ``mapInPandas`` with the tree
-    arrays shipped in a broadcast variable (model-sized)."""
+    Batches of rows are explained inside ``mapInPandas`` with the leaf
+    tables shipped in a broadcast variable (model-sized)."""
     spark = df.sparkSession
-    trees = trees or tree_tables(pm, spark)
-    bc = spark.sparkContext.broadcast(trees)
     feats = list(features)
+    bc = spark.sparkContext.broadcast(leaf_model(trees or tree_tables(pm, spark), [(i,) for i in range(len(feats))]))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tr = bc.value
+        model = bc.value
         for b in batches:
             if b.empty:
                 continue
             X = b[feats].to_numpy(dtype=np.float64)
-            phi = tree_shap(X, tr)
+            phi = model.values(X)
             n, m = phi.shape
             yield pd.DataFrame({"row_id": np.repeat(b[row_col].to_numpy(), m),
                                 "feature": np.tile(np.array(feats, dtype=object), n),
@@ -244,25 +200,26 @@ def shap_interaction_table(pm: PipelineModel, df: DataFrame, features: Sequence[
                            pairs: Sequence[tuple[str, str]] | None = None, row_col: str = "row_id",
                            trees: list[Tree] | None = None) -> DataFrame:
     """Per row interaction values for the requested feature pairs (all
-    ordered pairs incl. the diagonal when ``pairs`` is None)."""
+    ordered pairs incl. the diagonal when ``pairs`` is None).  Only the asked
+    pairs are tabulated and looked up."""
     spark = df.sparkSession
-    trees = trees or tree_tables(pm, spark)
-    bc = spark.sparkContext.broadcast(trees)
     feats = list(features)
     idx = {f: i for i, f in enumerate(feats)}
     want = [(idx[a], idx[b]) for a, b in pairs] if pairs else [(i, j) for i in range(len(feats))
                                                                for j in range(len(feats))]
+    columns = interaction_columns(want)
+    at = {c: k for k, c in enumerate(columns)}
+    bc = spark.sparkContext.broadcast(leaf_model(trees or tree_tables(pm, spark), columns))
 
     def explain(batches):
-        tr = bc.value
+        model = bc.value
         for b in batches:
             if b.empty:
                 continue
-            X = b[feats].to_numpy(dtype=np.float64)
-            M = shap_interaction_matrix(X, tr)
+            v = model.values(b[feats].to_numpy(dtype=np.float64))
             rows = b[row_col].to_numpy()
             parts = [pd.DataFrame({"row_id": rows, "feature1": feats[i], "feature2": feats[j],
-                                   "interaction": M[:, i, j]}) for i, j in want]
+                                   "interaction": v[:, at[min(i, j), max(i, j)]]}) for i, j in want]
             yield pd.concat(parts, ignore_index=True)
 
     return df.select(F.col(row_col).cast("long").alias("row_id"), *[F.col(c).cast("double") for c in feats]) \
