@@ -153,8 +153,7 @@ def q_cross_validate(spark, sf_dir):
 
 
 def _cv(fe):
-    parts = [M.cross_validate(fe, FEATURES, n_splits=5, model_type=m) for m in CANDIDATES]
-    return reduce(DataFrame.unionByName, parts)
+    return M.cross_validate(fe, FEATURES, n_splits=5, model_type=CANDIDATES)
 
 
 def _cv_avg(spark, sf_dir):

@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
 from typing import Sequence
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -22,11 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..session import ensure_checkpoint_dir
+from ..plans.ordered import with_row_index
+from ..session import cut_lineage, ensure_checkpoint_dir
 from . import metrics as met
 from .features import sequence_windows
 
 VEC = "features_vec"
+MODEL_TYPES = ("gbt", "gbt_early_stop", "forest")
+#: Fits at a time.  Each holds its rows' binned copy in executor memory while it runs.
+FIT_THREADS = 8
 
 
 def gbt_params(**over) -> dict:
@@ -128,22 +134,27 @@ def train_model(df: DataFrame, features: Sequence[str], target: str = "load", wi
     return TrainedModel(point, interval, list(features), target, m)
 
 
+def fit_model(kind: str, df: DataFrame, features: Sequence[str], target: str = "load", **over) -> PipelineModel:
+    """One of ``MODEL_TYPES``, fitted on ``df``."""
+    if kind == "gbt":
+        return train_gbt(df, features, target, **over)
+    if kind == "gbt_early_stop":
+        return train_gbt_early_stop(held_out(df, features), features, target, **over)
+    if kind == "forest":
+        est = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=over.get("numTrees", P.INTERVAL_TREES),
+                                    maxDepth=over.get("maxDepth", P.INTERVAL_DEPTH), seed=P.SEED)
+        return _pipeline(features, est).fit(df)
+    raise ValueError(f"unknown model {kind}")
+
+
 def train_all_models(df: DataFrame, features: Sequence[str], target: str = "load",
-                     models: Sequence[str] = ("gbt", "gbt_early_stop", "forest"), **over) -> dict:
-    """The chosen subset of models, fitted on the same rows."""
-    out = {}
+                     models: Sequence[str] = MODEL_TYPES, threads: int = FIT_THREADS, **over) -> dict:
+    """The chosen subset of models, fitted on the same rows, which are read once and stored; concurrently."""
     for name in models:
-        if name == "gbt":
-            out[name] = train_gbt(df, features, target, **over)
-        elif name == "gbt_early_stop":
-            out[name] = train_gbt_early_stop(held_out(df, features), features, target, **over)
-        elif name == "forest":
-            est = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=over.get("numTrees", P.INTERVAL_TREES),
-                                        maxDepth=over.get("maxDepth", P.INTERVAL_DEPTH), seed=P.SEED)
-            out[name] = _pipeline(features, est).fit(df)
-        else:
+        if name not in MODEL_TYPES:
             raise ValueError(f"unknown model {name}")
-    return out
+    rows = cut_lineage(df.select(*features, target))
+    return fit_concurrently(df.sparkSession, {name: partial(fit_model, name, rows, features, target, **over) for name in models}, threads)
 
 
 def predict_batch(tm: TrainedModel, df: DataFrame, return_confidence: bool = True,
@@ -205,32 +216,52 @@ def sequence_regressor(df: DataFrame, features: Sequence[str], target: str = "lo
     return pipe.fit(flat), flat
 
 
+def fit_concurrently(spark: SparkSession, fits: dict, threads: int = FIT_THREADS) -> dict:
+    """Results of independent fits by name, ``threads`` at a time.
+
+    A boosted model is hundreds of small jobs one after the other, which leave a cluster idle; fits
+    that do not need one another fill it.  Each runs in a scheduler pool of its own (which
+    a FAIR scheduler serves in turn) and in a thread that inherits the session's properties."""
+    def run(name, fit):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        return fit()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(fits)))) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(spark)(run), name, fit) for name, fit in fits.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str = "load", n_splits: int = P.CV_SPLITS,
-                   model_type: str = "gbt", time_col: str = "datetime", **over) -> DataFrame:
-    """Expanding-window CV: one fit per fold (k distributed fits), metrics
-    per fold as long rows ``(model, fold, train_size, test_size, metric, value)``."""
-    from .features import timeseries_cv_folds
-    if model_type not in ("gbt", "gbt_early_stop", "forest"):
-        raise ValueError(f"unknown model type {model_type}")
-    folds = timeseries_cv_folds(df, n_splits, time_col).cache()
-    rows = None
-    for k in range(n_splits):
-        tr = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        te = folds.filter((F.col("fold") == k) & (F.col("role") == "test"))
-        if model_type == "gbt":
-            m = train_gbt(tr, features, target, **over)
-        else:
-            m = train_all_models(tr, features, target, [model_type], **over)[model_type]
-        sc = m.transform(te).select(F.lit(model_type).alias("model"), F.col(target).alias("y"),
-                                    F.col("prediction").alias("yhat"))
-        mm = met.regression_metrics(sc, ["model"])
-        sizes = tr.agg(F.count(F.lit(1)).alias("train_size")).crossJoin(
-            te.agg(F.count(F.lit(1)).alias("test_size")))
-        r = mm.crossJoin(sizes).select("model", F.lit(k).alias("fold"), "train_size", "test_size",
-                                       F.expr("stack(4, 'mae', mae, 'rmse', rmse, 'mape', mape, 'r2', r2)")
-                                       .alias("metric", "value"))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+                   model_type: str | Sequence[str] = "gbt", time_col: str = "datetime", threads: int = FIT_THREADS,
+                   **over) -> DataFrame:
+    """Expanding-window CV of one model type or several: long rows
+    ``(model, fold, train_size, test_size, metric, value)``.
+
+    The rows are indexed and stored once; a fold is a range of ``row_id`` over that table
+    (``ts = n // (k + 1)``; fold i tests ``[n - (k - i) ts, n - (k - i - 1) ts)`` and trains on all
+    earlier rows).  All fits, ``n_splits`` a model type, run concurrently, and one aggregate
+    over the scored folds gives all metrics."""
+    kinds = [model_type] if isinstance(model_type, str) else list(model_type)
+    for kind in kinds:
+        if kind not in MODEL_TYPES:
+            raise ValueError(f"unknown model type {kind}")
+    spark = df.sparkSession
+    rows = with_row_index(df.select(time_col, *features, target), [time_col], idx="row_id", checkpoint=True)
+    rows = cut_lineage(rows.select("row_id", *features, target))
+    n = rows.count()
+    size = n // (n_splits + 1)
+    if not size:
+        raise ValueError(f"{n} rows are too few for {n_splits} folds")
+    starts = [n - (n_splits - k) * size for k in range(n_splits)]
+    fits = {(kind, k): partial(fit_model, kind, rows.filter(F.col("row_id") < lo), features, target, **over)
+            for k, lo in enumerate(starts) for kind in kinds}
+    models = fit_concurrently(spark, fits, threads)
+    scored = [models[kind, k].transform(rows.filter((F.col("row_id") >= lo) & (F.col("row_id") < lo + size))).select(
+        F.lit(kind).alias("model"), F.lit(k).alias("fold"), F.lit(lo).cast("long").alias("train_size"),
+        F.col(target).alias("y"), F.col("prediction").alias("yhat")) for k, lo in enumerate(starts) for kind in kinds]
+    m = met.regression_metrics(reduce(DataFrame.unionByName, scored), ["model", "fold", "train_size"])
+    return m.select("model", "fold", "train_size", F.col("n").alias("test_size"),
+                    F.expr("stack(4, 'mae', mae, 'rmse', rmse, 'mape', mape, 'r2', r2)").alias("metric", "value"))
 
 
 def model_store_path(spark: SparkSession, name: str | None = None) -> str:

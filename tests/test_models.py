@@ -53,3 +53,22 @@ def test_all_three_candidates_are_compared(spark, small):
     assert {r.model for r in rows} == {"gbt", "gbt_early_stop", "forest"}
     assert len({r["count"] for r in rows}) == 1
     assert {r.model for r in Q.q_ensemble_importance(spark, SF001).select("model").distinct().collect()} == {"gbt", "gbt_early_stop", "forest"}
+
+
+def test_concurrent_folds_equal_one_by_one_fits(spark):
+    df = spark.range(420).select(
+        F.timestamp_seconds(F.col("id") * 3600).alias("datetime"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("a"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)).cast("double").alias("b"))
+    df = df.withColumn("load", F.col("a") * 3 + F.col("b") * F.col("b") / 10 + 100).repartition(5)
+    small = {"maxIter": 3, "maxDepth": 3}
+    together = M.cross_validate(df, ["a", "b"], n_splits=4, model_type=["gbt", "gbt_early_stop"], **small).collect()
+    alone = [r for k in ("gbt", "gbt_early_stop") for r in M.cross_validate(df, ["a", "b"], n_splits=4, model_type=k, threads=1, **small).collect()]
+    as_rows = lambda rows: {(r.model, r.fold, r.train_size, r.test_size, r.metric): r.value for r in rows}
+    one, two = as_rows(together), as_rows(alone)
+    assert one.keys() == two.keys() and len(one) == 2 * 4 * 4
+    assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    assert {(k[1], k[2], k[3]) for k in one} == {(0, 84, 84), (1, 168, 84), (2, 252, 84), (3, 336, 84)}
+    with pytest.raises(ValueError):
+        M.cross_validate(df.limit(3), ["a", "b"], n_splits=4)
+    with pytest.raises(ValueError):
+        M.train_all_models(df, ["a"], models=["nothing"])
