@@ -1,5 +1,6 @@
 """Chunk-with-halo windows must equal plain windows."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,37 @@ def test_a_cluster_needs_a_checkpoint_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_selection_narrows_ranges(spark, monkeypatch):
+    """Rounds of cuts give the quantiles of a sort: ties, one hot value, infinities, null keys, a range of one value."""
+    from gridlens.plans import quantiles as q
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.lognormal(0, 6, 3000) * rng.choice([-1, 1], 3000), np.full(4000, 3.25), rng.integers(0, 9, 2000).astype(float), [np.inf, -np.inf, -0.0]])
+    rows = [("a", float(v)) for v in vals] + [("b", 7.0)] * 900 + [(None, float(v)) for v in rng.normal(size=700)] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.77, 0.95, 1.0]
+    for range_rows, cuts in ((200_000, 256), (50, 16), (6, 8)):
+        monkeypatch.setattr(q, "RANGE_ROWS", range_rows)
+        monkeypatch.setattr(q, "CUTS", cuts)
+        got = {(r.k, r.prob): r.quantile for r in q.quantiles(df, "v", probs, ["k"]).collect()}
+        assert len(got) == 4 * len(probs)
+        for key in ("a", "b", None, "c"):
+            own = np.sort(np.array([v for k, v in rows if k == key]))
+            for p in probs:
+                h = (len(own) - 1) * p
+                lo, hi = own[int(np.floor(h))], own[int(np.ceil(h))]
+                want = lo if lo == hi else lo + (h - np.floor(h)) * (hi - lo)
+                assert got[key, p] == want or abs(got[key, p] - want) < 1e-9 * max(1, abs(want))
+        whole = {r.prob: r.quantile for r in q.quantiles(df.filter("k = 'a'"), "v", probs).collect()}
+        assert all(whole[p] == got["a", p] for p in probs)
+    monkeypatch.setattr(q, "BROADCAST_ROWS", 0)
+    assert {(r.k, r.prob): r.quantile for r in q.quantiles(df, "v", probs, ["k"]).collect()} == got
+    assert q.quantiles(df.filter("k = 'd'"), "v", probs).collect() == []
+
+
+def test_selection_sorts_no_rows(spark):
+    from gridlens.plans.quantiles import quantile_columns
+    df = spark.range(1000).selectExpr("id % 3 AS k", "cast(id AS double) AS v")
+    plan = quantile_columns(df, "v", {"m": 0.5}, ["k"])._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "RoundRobin" not in plan
