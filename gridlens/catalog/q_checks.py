@@ -74,14 +74,13 @@ def q_validate_duplicates(spark, sf_dir):
 
 
 @register("validate_continuity", sql(fs.HOURLY_KEYED, """
-SELECT 'continuity' AS "check", 'datetime' AS "column",
+SELECT event_type, 'continuity' AS "check", 'datetime' AS "column",
        CASE WHEN count(*) FILTER (WHERE g > 2) > 0 THEN 'warning' ELSE 'passed' END AS status,
        count(*) FILTER (WHERE g > 2) AS n_bad
-FROM (SELECT date_diff('second', lag(datetime) OVER (ORDER BY datetime), datetime) / 3600.0 AS g
-      FROM hourly_keyed WHERE event_type = 'purchase')"""))
+FROM (SELECT event_type, date_diff('second', lag(datetime) OVER (PARTITION BY event_type ORDER BY datetime), datetime) / 3600.0 AS g
+      FROM hourly_keyed) GROUP BY event_type"""))
 def q_validate_continuity(spark, sf_dir):
-    h = fx.hourly_keyed(spark, sf_dir).filter(F.col("event_type") == "purchase")
-    return _v(val.validate_continuity(h))
+    return val.validate_continuity(fx.hourly_keyed(spark, sf_dir), keys=["event_type"]).select("event_type", *_VCOLS)
 
 
 @register("validate_consistency", sql(fs.HOURLY + f""",
@@ -104,12 +103,30 @@ def q_validate_consistency(spark, sf_dir):
     return _v(val.validate_consistency(h))
 
 
-@register("validate_all")
+_ALL_CTE = fs.HOURLY_NULLS + """,
+vr AS (SELECT * FROM hourly_nulls)"""
+_ALL_SQL = " UNION ALL ".join([
+    *[f"""SELECT 'columns' AS "check", '{c}' AS "column", 'passed' AS status, 0 AS n_bad""" for c in val.REQUIRED_COLUMNS],
+    *[f"SELECT 'columns', '{c}', 'warning', 1" for c in val.OPTIONAL_COLUMNS],
+    *[f"SELECT 'dtypes', '{c}', 'passed', 0" for c in val.DTYPE_RULES],
+    " UNION ALL ".join(p for p in _RANGE_SQL.split(" UNION ALL ") if "'hour'" not in p and "'day_of_week'" not in p),
+    _MISS_SQL,
+    """SELECT 'duplicates', 'datetime', CASE WHEN count(*) > count(DISTINCT datetime) THEN 'error' ELSE 'passed' END, count(*) - count(DISTINCT datetime) FROM hourly_nulls""",
+    """SELECT 'duplicates', NULL, CASE WHEN d > 0 THEN 'warning' ELSE 'passed' END, d
+       FROM (SELECT (SELECT count(*) FROM hourly_nulls) - (SELECT count(*) FROM (SELECT DISTINCT * FROM hourly_nulls)) AS d)""",
+    """SELECT 'continuity', 'datetime', CASE WHEN count(*) FILTER (WHERE g > 2) > 0 THEN 'warning' ELSE 'passed' END, count(*) FILTER (WHERE g > 2)
+       FROM (SELECT date_diff('second', lag(datetime) OVER (ORDER BY datetime), datetime) / 3600.0 AS g FROM hourly_nulls)"""])
+
+
+@register("validate_all", sql(_ALL_CTE, _ALL_SQL))
 def q_validate_all(spark, sf_dir):
     return _v(val.validate_all(fx.hourly_nulls(spark, sf_dir)))
 
 
-@register("validation_summary")
+@register("validation_summary", sql(_ALL_CTE, f"""
+SELECT count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'warning') AS warnings,
+       count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'error') = 0 AS is_valid
+FROM ({_ALL_SQL})"""))
 def q_validation_summary(spark, sf_dir):
     return val.validation_summary(val.validate_all(fx.hourly_nulls(spark, sf_dir)))
 

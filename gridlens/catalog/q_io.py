@@ -62,19 +62,16 @@ def q_report_text_sink(spark, sf_dir):
 
 
 @register("calendar_spine", sql(fs.HOURLY_KEYED + f""",
-sp AS (SELECT unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM hourly_keyed),
-cal AS (SELECT datetime, CAST(datetime AS DATE) AS date, CAST(hour(datetime) AS INTEGER) AS hour,
+sp AS (SELECT event_type, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM hourly_keyed GROUP BY 1),
+cal AS (SELECT event_type, datetime, CAST(datetime AS DATE) AS date, CAST(hour(datetime) AS INTEGER) AS hour,
                CAST(isodow(datetime) - 1 AS INTEGER) AS day_of_week, isodow(datetime) >= 6 AS is_weekend,
                {fs.holiday_sql('datetime')} AS is_holiday, {fs.season_sql('datetime')} AS season FROM sp)""", """
-SELECT c.*, k.load FROM cal c LEFT JOIN (SELECT * FROM hourly_keyed WHERE event_type = 'purchase') k USING (datetime)""",
+SELECT c.*, k.load FROM cal c LEFT JOIN hourly_keyed k USING (event_type, datetime)""",
                                 ["load"]))
 def q_calendar_spine(spark, sf_dir):
     hk = fx.hourly_keyed(spark, sf_dir)
-    rng = hk.agg(F.min("datetime").alias("lo"), F.max("datetime").alias("hi"))
-    spine = rng.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("datetime"))
-    spine = src.add_generator_calendar(spine)
-    facts = hk.filter(F.col("event_type") == "purchase").select("datetime", "load")
-    return round6(spine.join(facts, "datetime", "left"))
+    spine = src.add_generator_calendar(src.spine_from(hk, keys=["event_type"]))
+    return round6(spine.join(hk.select("event_type", "datetime", "load"), ["event_type", "datetime"], "left"))
 
 
 _NUMERIC = [c for c in feat.FEATURES]

@@ -147,16 +147,13 @@ def q_resample_mean(spark, sf_dir):
     return round6(prof.resample_mean(fx.hourly_keyed(spark, sf_dir), "day", keys=["event_type"]))
 
 
-@register("resample_mean_spine", sql(fs.DAILY_ORDERS + """,
-m AS (SELECT CAST(date_trunc('month', datetime) AS TIMESTAMP) AS datetime, avg(load) AS load FROM daily_orders
-      WHERE datetime < TIMESTAMP '1996-01-01' OR datetime >= TIMESTAMP '1996-04-01' GROUP BY 1),
-s AS (SELECT unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 MONTH)) AS datetime FROM m)""", """
-SELECT s.datetime, m.load FROM s LEFT JOIN m USING (datetime)""", ["load"]))
+@register("resample_mean_spine", sql(fs.HOURLY_KEYED + """,
+s AS (SELECT event_type, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM hourly_keyed GROUP BY 1)""", """
+SELECT s.event_type, s.datetime, k.load, k.temperature, k.humidity FROM s LEFT JOIN hourly_keyed k USING (event_type, datetime)""",
+                                     ["load", "temperature", "humidity"]))
 def q_resample_spine(spark, sf_dir):
-    d = fx.daily_orders(spark, sf_dir)
-    d = d.filter((F.col("datetime") < F.lit("1996-01-01").cast("timestamp_ntz")) |
-                 (F.col("datetime") >= F.lit("1996-04-01").cast("timestamp_ntz")))
-    return round6(prof.resample_mean(d, "month"))
+    """Hours in which a series has no event appear with null means."""
+    return round6(prof.resample_mean(fx.hourly_keyed(spark, sf_dir), "hour", keys=["event_type"]))
 
 
 @register("correlation_pair", sql(fs.HOURLY, "SELECT corr(temperature, load) AS correlation FROM hourly",

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from gridlens.operators import compare as cmp
 from gridlens.operators import insight, metrics as met, profile as prof
 from gridlens.operators import ranking as rk, standardize as std, validation as val, windows as win
@@ -126,3 +127,34 @@ def test_sampling_independent_of_partitioning(spark):
     # Poisson(1) weights: mean close to 1 over 720 rows x 4 replicates
     mean_w = rk.bootstrap_weights(h, "datetime", 4).agg(F.avg("weight")).first()[0]
     assert 0.85 < mean_w < 1.15
+
+
+def test_all_checks_from_one_scan(spark, monkeypatch):
+    """validate_all equals its checks one by one, on rows with nulls, ties and repeats over several chunks, and reads its input once."""
+    from gridlens.operators import validation as val
+    rows = [(None, 1.0, None, 5.0), (None, 1.0, None, 5.0)] + [(i * 3600 if i % 9 else i * 3600 - 7200, float(i % 7) - 1, None if i % 5 == 0 else 70.0 * (i % 2), 120.0 * (i % 3)) for i in range(120)]
+    rows += rows[40:50] + [(90 * 3600, 99.0, 1.0, 1.0)] + [(400 * 3600, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s long, load double, temperature double, humidity double").select(
+        F.timestamp_seconds("s").alias("datetime"), "load", "temperature", "humidity")
+    df = df.withColumns({"hour": (F.hour("datetime") + F.when(F.col("load") > 4, 1).otherwise(0)), "is_holiday": F.col("load") > 0, "is_weekend": F.col("load") < 3}).repartition(6)
+    parts = [val.validate_columns(df), val.validate_dtypes(df), val.validate_ranges(df), val.validate_missing(df), val.validate_duplicates(df),
+             val.validate_consistency(df), val.validate_continuity(df)]
+    want = sorted(tuple(map(str, r)) for p in parts for r in p.collect())
+    assert {r[2] for r in want} == {"passed", "warning", "error"}
+    assert sorted(tuple(map(str, r)) for r in val.validate_all(df).collect()) == want
+    real = val.o.layout
+    monkeypatch.setattr(val.o, "layout", lambda *a, **k: real(*a, **{**k, "chunk": 4}))
+    assert sorted(tuple(map(str, r)) for r in val.validate_all(df).collect()) == want
+    keyed = val.validate_continuity(df.withColumn("k", F.col("load") > 2), keys=["k"])
+    assert keyed.columns[0] == "k" and keyed.count() == 2
+    untimed = df.drop("datetime")
+    assert {r["check"] for r in val.validate_all(untimed).collect()} >= {"columns", "missing", "duplicates", "ranges"}
+    plan = val.validate_columns(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_validate_all_reads_its_table_once(spark):
+    from gridlens.operators import validation as val
+    from gridlens.sources import fixtures as fx
+    plan = val.validate_all(fx.hourly_nulls(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 0          # what is read is the stored order: the scan was made once, for it
