@@ -122,17 +122,47 @@ def q_whatif_scenario(spark, sf_dir):
                              "baseline_load"))
 
 
-@register("batch_dialogue")
+DIALOGUE_YEAR = 1995        # a year that the table of orders covers
+_P = r"regexp_extract_all(text, '(\d+)月', 1)"
+_DATES = r"regexp_extract_all(text, '\d{4}[-/]\d{2}[-/]\d{2}')"
+_MONTH = f"CASE WHEN len({_P}) >= 2 THEN make_date({DIALOGUE_YEAR}, CAST({_P}[%d] AS INTEGER), %d) ELSE DATE '%s' END"
+
+
+@register("batch_dialogue", sql(fs.DAILY_ORDERS + "," + fs.HOURLY + "," + fs.QUESTIONS + f""",
+said AS (SELECT conv_id, turn, text, {_INTENT_SQL} AS intent,
+                {_MONTH % (1, 1, '2023-06-01')} AS a0, {_MONTH % (1, 28, '2023-06-30')} AS a1, {_MONTH % (2, 1, '2023-07-01')} AS b0, {_MONTH % (2, 28, '2023-07-31')} AS b1,
+                coalesce(TRY_CAST(replace({_DATES}[1], '/', '-') AS DATE), (SELECT CAST(min(datetime) AS DATE) FROM hourly)) AS d0,
+                coalesce(TRY_CAST(replace({_DATES}[least(2, len({_DATES}))], '/', '-') AS DATE), (SELECT CAST(max(datetime) AS DATE) FROM hourly)) AS d1 FROM questions),
+m AS (SELECT DISTINCT a0 AS lo, a1 AS hi FROM said UNION SELECT DISTINCT b0, b1 FROM said),
+means AS (SELECT lo, hi, count(load) AS n, CAST(sum(CAST(load AS DECIMAL(18, 6))) AS DOUBLE) / count(load) AS mean FROM m LEFT JOIN daily_orders ON datetime >= lo AND datetime <= hi GROUP BY 1, 2),
+r AS (SELECT d0, d1, count(load) AS n, CAST(sum(CAST(load AS DECIMAL(18, 6))) AS DOUBLE) / count(load) AS mean
+      FROM (SELECT DISTINCT d0, d1 FROM said) LEFT JOIN hourly ON datetime >= d0 AND datetime < d1 + INTERVAL 1 DAY GROUP BY 1, 2)""", """
+SELECT conv_id, turn, intent,
+       CASE WHEN intent = 'comparison' THEN strftime(a0, '%Y-%m-%d') END AS period_1, CASE WHEN intent = 'comparison' THEN strftime(b0, '%Y-%m-%d') END AS period_2,
+       CASE WHEN intent = 'comparison' THEN x.n END AS p1_n, CASE WHEN intent = 'comparison' THEN y.n END AS p2_n,
+       CASE WHEN intent = 'comparison' AND x.n > 0 THEN x.mean END AS p1_mean, CASE WHEN intent = 'comparison' AND y.n > 0 THEN y.mean END AS p2_mean,
+       CASE WHEN intent = 'comparison' AND x.n > 0 AND y.n > 0 THEN (y.mean - x.mean) / x.mean * 100 END AS mean_diff_pct,
+       CASE WHEN intent = 'report' THEN said.d0 END AS range_start, CASE WHEN intent = 'report' THEN said.d1 END AS range_end,
+       CASE WHEN intent = 'report' THEN r.n END AS range_n, CASE WHEN intent = 'report' AND r.n > 0 THEN r.mean END AS range_mean
+FROM said JOIN means x ON x.lo = a0 AND x.hi = a1 JOIN means y ON y.lo = b0 AND y.hi = b1 JOIN r ON r.d0 = said.d0 AND r.d1 = said.d1""",
+                                ["p1_mean", "p2_mean", "mean_diff_pct", "range_mean"]))
 def q_batch_dialogue(spark, sf_dir):
+    """Every turn with the numbers of its answer: its own periods compared, its own dates reported."""
+    turns = dlg.intent_classify(fx.questions(spark, sf_dir), keywords=PROSE_KEYWORDS).select("conv_id", "turn", "intent", "text")
+    own = dlg.period_answers(turns, fx.daily_orders(spark, sf_dir), "day", year=DIALOGUE_YEAR)
+    own = dlg.date_range_answers(own, fx.hourly(spark, sf_dir), "hour")
+    of = {"comparison": ["period_1", "period_2", "p1_n", "p2_n", "p1_mean", "p2_mean", "mean_diff_pct"], "report": ["range_start", "range_end", "range_n", "range_mean"]}
+    return round6(own.select("conv_id", "turn", "intent", *[F.when(F.col("intent") == i, F.col(c)).alias(c) for i, cols in of.items() for c in cols]))
+
+
+@register("batch_dialogue_text")
+def q_batch_dialogue_text(spark, sf_dir):
     h = fx.hourly(spark, sf_dir)
     p = fx.predictions_naive(spark, sf_dir)
     a = an.deviation_scan(p, top=None)
     answers = {
         "anomaly": a.agg(F.format_string("%d deviations above 15%%, %d critical", F.count(F.lit(1)),
                                          F.count_if(F.col("severity") == "critical")).alias("answer")),
-        "comparison": rep.comparison_text(cmp.period_diff(cmp.period_stats(
-            h, [("p1", "2024-01-01", "2024-01-14"), ("p2", "2024-01-15", "2024-01-28")]), "p1", "p2"))
-        .select(F.col("interpretation").alias("answer")),
         "report": h.agg(F.format_string("mean load %.1f MW, peak %.1f MW", F.avg("load"), F.max("load"))
                         .alias("answer")),
         "what_if": h.agg(F.format_string("baseline %.1f MW", F.avg("load")).alias("answer")),
@@ -143,13 +173,9 @@ def q_batch_dialogue(spark, sf_dir):
                                                               lambda x: x["feature"]), ", ").alias("answer"))
     c = fx.questions(spark, sf_dir)
     said = dlg.batch_dialogue(c, answers, keywords=PROSE_KEYWORDS).select("conv_id", "turn", "intent", "text", "answer")
-    # the turn's own periods and scenario, as far as it names any
-    feats = h.select("datetime", "temperature", F.hour("datetime").alias("hour"))
-    own = dlg.whatif_scenario(said, feats, h.agg(F.avg("load").alias("baseline_load")))
-    return round6(own.withColumn("p", dlg.parse_periods("text")).select(
-        "conv_id", "turn", "intent", "answer", F.when(F.col("intent") == "what_if", F.col("scenario_load")).alias("scenario_load"),
-        F.when(F.col("intent") == "comparison", F.col("p.p1_start")).alias("period_1"),
-        F.when(F.col("intent") == "comparison", F.col("p.p2_start")).alias("period_2")))
+    own = dlg.period_answers(said, fx.daily_orders(spark, sf_dir), "day", year=DIALOGUE_YEAR)
+    compared = F.format_string("%s: %.2f MW, %s: %.2f MW, difference %.2f MW (%.1f%%)", "period_1", "p1_mean", "period_2", "p2_mean", "mean_diff", "mean_diff_pct")
+    return own.select("conv_id", "turn", "intent", F.when(F.col("intent") == "comparison", F.coalesce(compared, F.lit("a period has no data"))).otherwise(F.col("answer")).alias("answer"))
 
 
 _DEV = fs.PRED + """,

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..plans import ordered as o
 from ..plans.quantiles import quantile_columns
+from ..session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------
 DRIVER_SHAP_CHANGE = 20.0       # |shap change| above -> driver / reducer
@@ -50,6 +52,42 @@ def period_stats(df: DataFrame, periods: Sequence[tuple[str, str, str]], target:
         "period", "count", "mean", "std", "min", "max", "median", "sum")
 
 
+def prefix_totals(df: DataFrame, target: str = "load", unit: str = "hour", time_col: str = "datetime") -> DataFrame:
+    """(bucket, total, count): sum and number of ``target`` values from the start up to and with each bucket.
+
+    Every bucket from the first to the last stands, also those without rows, so that any time inside
+    is an equi-join key.  Values are added as decimals of six places, so a difference of
+    two totals is exactly the sum between them.  Running sums are chunk-wise with a carry table."""
+    x = F.col(target).cast("decimal(18,6)")
+    b = df.groupBy(F.date_trunc(unit, F.col(time_col)).cast("timestamp_ntz").alias("bucket")).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
+    b = cut_lineage(b.filter(F.col("bucket").isNotNull()))
+    spine = b.agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi")).filter(F.col("_lo").isNotNull()).select(
+        F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL 1 {unit.upper()}"))).alias("bucket"))
+    lo = o.layout(spine.join(b, "bucket", "left"), "bucket", halo=0)
+    run = o.running_sum(o.running_sum(lo.core(), "_s", "total"), "_c", "count")
+    return run.select("bucket", F.col("total").cast("decimal(38,6)").alias("total"), "count")
+
+
+def range_means(ranges: DataFrame, prefix: DataFrame, start: str, end: str, unit: str = "hour", prefix_name: str = "range") -> DataFrame:
+    """``ranges`` with the count and the mean of the values in each row's ``[start, end]``.
+
+    However long the ranges are and however many, a row takes two look-ups in the table of
+    ``prefix_totals``: at its end, and before its start.  A range without values (also: no bounds) has
+    count 0 and mean null."""
+    edge = F.broadcast(prefix.agg(F.min("bucket").alias("_first"), F.max("bucket").alias("_last")))      # one row
+    down = lambda t: F.date_trunc(unit, t).cast("timestamp_ntz")
+    last = F.least(down(F.col(end)), F.col("_last"))
+    before = F.least(down(F.col(start) - F.expr("INTERVAL 1 MICROSECOND")), F.col("_last"))
+    r = ranges.crossJoin(edge).withColumns({"_at": last, "_before": before})
+    hi, lo = (prefix.select(F.col("bucket").alias("_b" + k), F.col("total").alias("_t" + k), F.col("count").alias("_n" + k)) for k in "hl")
+    r = r.join(hi, F.col("_at") == F.col("_bh"), "left").join(lo, F.col("_before") == F.col("_bl"), "left")
+    some = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))
+    n = F.when(some, F.coalesce("_nh", F.lit(0)) - F.coalesce("_nl", F.lit(0))).otherwise(0).cast("long")
+    total = (F.coalesce("_th", F.lit(0).cast("decimal(38,6)")) - F.coalesce("_tl", F.lit(0).cast("decimal(38,6)"))).cast("double")
+    return r.withColumn("_n", n).select(*ranges.columns, F.col("_n").alias(f"{prefix_name}_n"),
+                                        F.when(F.col("_n") > 0, total / F.col("_n")).alias(f"{prefix_name}_mean"))
+
+
 def period_diff(stats: DataFrame, p1: str, p2: str) -> DataFrame:
     """Differences period 2 - period 1 (rounded to 2), mean pct (0 when the
     period-1 mean is 0).  ``stats`` has one row per period."""

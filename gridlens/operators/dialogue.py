@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import cut_lineage
+from . import compare
 from .standardize import latest_features
 
 # ---- fixed values: default keyword table (intent order = tie order) -------
@@ -148,6 +150,36 @@ def whatif_scenario(turns: DataFrame, features: DataFrame, baseline: DataFrame,
         "diff_pct": F.try_divide(F.col("scenario_load") - F.col("baseline_load"), F.col("baseline_load")) * 100})
 
 
+def period_answers(turns: DataFrame, series: DataFrame, unit: str = "hour", text_col: str = "text", year: int = PERIOD_YEAR,
+                   target: str = "load", time_col: str = "datetime") -> DataFrame:
+    """Each turn with the comparison of its own two periods: ``period_1``, ``period_2`` (first days), ``p1_n``, ``p1_mean``,
+    ``p2_n``, ``p2_mean``, ``mean_diff`` and ``mean_diff_pct`` (0 where the first mean is 0; null where a period has no values).
+
+    Periods are parsed from the text; all turns are answered by look-ups in one table of running totals."""
+    prefix = cut_lineage(compare.prefix_totals(series, target, unit, time_col))
+    day = lambda c: F.to_timestamp_ntz(F.col("_p")[c])
+    t = turns.withColumn("_p", parse_periods(text_col, year)).withColumns({f"_{k}": day(k) for k in ("p1_start", "p1_end", "p2_start", "p2_end")})
+    for p in ("p1", "p2"):
+        t = compare.range_means(t, prefix, f"_{p}_start", f"_{p}_end", unit, p)
+    diff = F.col("p2_mean") - F.col("p1_mean")
+    return t.select(*turns.columns, F.col("_p.p1_start").alias("period_1"), F.col("_p.p2_start").alias("period_2"), "p1_n", "p1_mean", "p2_n", "p2_mean",
+                    diff.alias("mean_diff"), F.when(F.col("p1_mean") == 0, F.lit(0.0)).otherwise(diff / F.col("p1_mean") * 100).alias("mean_diff_pct"))
+
+
+def date_range_answers(turns: DataFrame, series: DataFrame, unit: str = "hour", text_col: str = "text",
+                       target: str = "load", time_col: str = "datetime") -> DataFrame:
+    """Each turn with ``range_start``, ``range_end``, ``range_n`` and ``range_mean`` of the dates that it names, both days
+    whole; the series' own first and last day where it names none."""
+    prefix = cut_lineage(compare.prefix_totals(series, target, unit, time_col))
+    whole = F.broadcast(prefix.agg(F.to_date(F.min("bucket")).alias("_d0"), F.to_date(F.max("bucket")).alias("_d1")))      # one row
+    said = lambda c: F.try_to_date(F.translate(F.col("_p")[c], "/", "-"))
+    t = turns.withColumn("_p", parse_date_range(text_col)).crossJoin(whole)
+    t = t.withColumns({"range_start": F.coalesce(said("start"), "_d0"), "range_end": F.coalesce(said("end"), "_d1")})
+    t = t.withColumns({"_from": F.col("range_start").cast("timestamp_ntz"),
+                       "_to": F.date_add("range_end", 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")})
+    return compare.range_means(t, prefix, "_from", "_to", unit).select(*turns.columns, "range_start", "range_end", "range_n", "range_mean")
+
+
 def batch_dialogue(turns: DataFrame, answers: dict[str, DataFrame], text_col: str = "text",
                    keywords: dict[str, list[str]] | None = None) -> DataFrame:
     """Classify every turn and attach the answer of its intent.

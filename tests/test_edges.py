@@ -158,3 +158,27 @@ def test_validate_all_reads_its_table_once(spark):
     from gridlens.sources import fixtures as fx
     plan = val.validate_all(fx.hourly_nulls(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 0          # what is read is the stored order: the scan was made once, for it
+
+
+def test_range_means_are_two_look_ups(spark, monkeypatch):
+    """Any range: gaps, bounds outside the series, null and inverted bounds, null values; over small chunks."""
+    times = [i for i in range(200) if not 60 <= i < 75 and i != 199]
+    vals = {i: None if i % 17 == 0 else (i * 37 % 101) / 4 for i in times}
+    t0 = dt.datetime(2024, 3, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=i, minutes=15 * (i % 4)), v) for i, v in vals.items()], "datetime timestamp_ntz, load double").repartition(5)
+    bounds = [(0, 10), (5, 5), (58, 80), (61, 70), (-50, 3), (190, 900), (-9, -1), (300, 400), (40, 20), (None, 5), (5, None), (-50, 900)]
+    at = lambda h: None if h is None else t0 + dt.timedelta(hours=h)
+    ranges = spark.createDataFrame([(i, at(a), at(b)) for i, (a, b) in enumerate(bounds)], "i int, a timestamp_ntz, b timestamp_ntz")
+    want = {}
+    for i, (a, b) in enumerate(bounds):
+        own = [] if a is None or b is None else [v for h, v in vals.items() if a <= h <= b and v is not None]
+        want[i] = (len(own), sum(own) / len(own) if own else None)
+    real = cmp.o.layout
+    for chunk in (100_000, 7):
+        monkeypatch.setattr(cmp.o, "layout", lambda *x, chunk=chunk, **k: real(*x, **{**k, "chunk": chunk}))
+        got = {r.i: (r.x_n, r.x_mean) for r in cmp.range_means(ranges, cmp.prefix_totals(df), "a", "b", prefix_name="x").collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert got[i][0] == want[i][0] and (got[i][1] is None) == (want[i][1] is None)
+            assert want[i][1] is None or abs(got[i][1] - want[i][1]) < 1e-9
+    assert [r.x_n for r in cmp.range_means(ranges, cmp.prefix_totals(df.limit(0)), "a", "b", prefix_name="x").collect()] == [0] * len(bounds)
