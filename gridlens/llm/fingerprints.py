@@ -6,7 +6,7 @@ lane modulo a power of two.  So the order of paragraphs doesn't matter, and a
 paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts.  ``WIDE`` 64-bit lanes (modulo 2**64) carry a hash of
-the whole paragraph and settle equality.  ``SIGNS`` 16-bit lanes (modulo 2**16)
+the whole paragraph and settle equality.  ``SIGNS`` 32-bit lanes (modulo 2**32)
 carry +1 or -1 for each phrase of the paragraph (up to ``PHRASE_WORDS`` words,
 starting anew after a sentence end); products of two texts' lanes estimate how
 many phrases they share, which gives the likeness."""
@@ -43,7 +43,7 @@ def _phrase_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows:
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """Fingerprints, one row of bytes per text: WIDE * 8 + SIGNS * 2 bytes."""
+    """Fingerprints, one row of bytes per text: WIDE * 8 + SIGNS * 4 bytes."""
     n = len(texts)
     wide = np.zeros((n, WIDE), np.uint64)
     signs = np.zeros((n, SIGNS), np.int64)
@@ -70,7 +70,7 @@ def vectors(texts: list[str]) -> np.ndarray:
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             size = np.diff(np.append(first, len(row)))
             signs[row[first]] += 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) - size[:, None]
-    return np.concatenate([wide.astype("<u8").view(np.uint8), signs.astype("<i2").view(np.uint8)], axis=1)
+    return np.concatenate([wide.astype("<u8").view(np.uint8), signs.astype("<i4").view(np.uint8)], axis=1)
 
 
 def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
@@ -78,14 +78,14 @@ def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     cut = WIDE * 8
     a, b = np.ascontiguousarray(a), np.ascontiguousarray(b)
     x, y = [np.ascontiguousarray(v[:, :cut]).view("<u8") for v in (a, b)]
-    s, t = [np.ascontiguousarray(v[:, cut:]).view("<i2") for v in (a, b)]
+    s, t = [np.ascontiguousarray(v[:, cut:]).view("<i4") for v in (a, b)]
     return np.concatenate([(x + y if sign > 0 else x - y).view(np.uint8), (s + t if sign > 0 else s - t).view(np.uint8)], axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated shared phrases over all phrases of both, 0 to 1; 1 for equal fingerprints."""
     cut = WIDE * 8
-    s, t = [np.ascontiguousarray(v[:, cut:]).view("<i2").astype(np.float64) for v in (a, b)]
+    s, t = [np.ascontiguousarray(v[:, cut:]).view("<i4").astype(np.float64) for v in (a, b)]
     both, union = (s * t).sum(1), (s * s).sum(1) + (t * t).sum(1) - (s * t).sum(1)
     out = np.clip(np.divide(both, union, out=np.zeros(len(a)), where=union > 0), 0, 1)
     out[(a == b).all(1)] = 1.0

@@ -65,5 +65,12 @@ def test_one_row_empty_table_and_null_ids(spark, docs, edge_rows):
 def test_plain_fingerprint_needs_no_shuffle(spark, docs):
     df = fp.fingerprint(docs([(1, "a"), (2, None)]))
     assert "Exchange" not in df._jdf.queryExecution().toString()
-    assert {r.doc_id: r.fingerprint for r in df.collect()}[2] == "00" * (fp.WIDE * 8 + fp.SIGNS * 2)
+    assert {r.doc_id: r.fingerprint for r in df.collect()}[2] == "00" * (fp.WIDE * 8 + fp.SIGNS * 4)
     assert np.array_equal(fp.vectors(["x\ny"]), fp.vectors(["y\nx"]))
+
+
+def test_long_repeats_do_not_wrap():
+    half = "\n".join(["the same short line"] * 40000)
+    v = fp.vectors([half, half[:len(half) // 2] + "\n" + "other words here. " * 3, "\n".join(["the same short line"] * 70000)])
+    assert fp.likeness(v[:1], v[1:2])[0] > 0.4 and fp.likeness(v[:1], v[2:])[0] > 0.4
+    assert (fp.combine(v[:1], v[:1]) == fp.vectors([half + "\n" + half])).all()
