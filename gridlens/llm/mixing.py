@@ -152,20 +152,20 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drawn runs of words with the white space before each word, joined by a new line)."""
     _, _, drawn = _planned(docs, id_col, text_col, source_col, weights, share, most, block, shard_slots, seed)
     parts = drawn.groupBy("doc_id", "source", "h", "start", "size", "epoch").agg(        # as many as the text has blocks
-        F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_runs"), F.sum(F.col("to_word") - F.col("from_word")).alias("_n"))
-    parts = parts.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(
-        F.collect_list(F.struct("start", "epoch", (F.col("_n") == F.col("size")).alias("whole"), "_runs")).alias("_takes"))
-    ids, key = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    once = docs.withColumn("_k", key).dropDuplicates([id_col, source_col, "_k"])
-    met = once.join(parts, ids.eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h")))
-    met = met.withColumn("_take", F.explode("_takes"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    runs = F.aggregate("_take._runs", F.array().cast("array<struct<from_word:bigint,to_word:bigint>>"), lambda done, r: F.when(
+        F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"), F.sum(F.col("to_word") - F.col("from_word")).alias("n"))
+    parts = parts.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("h").alias("t"), (F.col("n") == F.col("size")).alias("whole"), "runs")
+    # the input's columns travel as one struct, so that none of them, whatever its name, meets those of the plan
+    once = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("from"), F.xxhash64(text_col).alias("hash"))
+    once = once.dropDuplicates(["id", "from", "hash"])
+    met = parts.join(once, F.col("id").eqNullSafe(F.col("i")) & F.col("from").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("t")))
+    given = F.col("row").getField(text_col)
+    words = F.regexp_extract_all(given, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    runs = F.aggregate("runs", F.array().cast("array<struct<from_word:bigint,to_word:bigint>>"), lambda done, r: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["to_word"] == r["from_word"]),
         F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["from_word"].alias("from_word"), r["to_word"].alias("to_word")))))
         .otherwise(F.concat(done, F.array(r))))
     cut = F.array_join(F.transform(F.transform(F.array(words), lambda w: F.transform(
         runs, lambda r: F.array_join(F.slice(w, (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")), "")))[0], lambda t: t), "\n")
-    text = F.when(F.col("_take.whole"), F.col(text_col)).otherwise(cut)
-    out = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    text = F.when(F.col("whole"), given).otherwise(cut)
+    out = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return met.select(*out)

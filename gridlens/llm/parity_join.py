@@ -361,10 +361,11 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_
     comps = similarity_components(docs, words, num, den, id_col, text_col)
     gone = cut_lineage(comps.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
     small = F.broadcast if gone.count() <= BROADCAST_SETS else lambda x: x
-    kept = docs.join(small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(small(gone), docs[id_col].cast("long") == gone["_gone"], "left_anti")
     twice = cut_lineage(comps.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
     if not twice.limit(1).count():
         return kept
     small = F.broadcast if twice.count() <= BROADCAST_SETS else lambda x: x
-    repeated = kept.join(small(twice), F.col(id_col).cast("long") == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(small(twice), F.col(id_col).cast("long") == F.col("_twice"), "left_anti").unionByName(repeated)
+    again = kept[id_col].cast("long") == twice["_twice"]
+    repeated = kept.join(small(twice), again, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(small(twice), again, "left_anti").unionByName(repeated)

@@ -57,8 +57,9 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     text has 0 bytes; a null id is hashed as empty text; an empty table gives an empty
     one.  Input columns named like the new ones are replaced."""
     new = ["n_bytes", "shard", "depth", "oversize"]
-    keep = [c for c in (columns or docs.columns) if c not in new and not c.startswith("_")]
-    rows = docs.select(*keep, key_hash(F.col(id_col), F.col(text_col)).alias("_h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
+    keep = [c for c in (columns or docs.columns) if c not in new]
+    # the input's columns travel as one struct, so that none of them, whatever its name, meets those of the plan
+    rows = docs.select(F.struct(*keep).alias("_row"), key_hash(F.col(id_col), F.col(text_col)).alias("_h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
     narrow = rows.select("_h", "_bytes")
     total = narrow.agg(F.sum("_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS)
@@ -80,12 +81,12 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
                     .withColumn("depth", F.lit(bits)).select(*done[0].columns))
         if bits >= HASH_BITS or not large.where(~F.col("_same")).limit(1).count():
             break
-        rows = placed.where(F.col("depth").isNull() & ~F.col("_same")).select(*keep, "_h", "_bytes")
+        rows = placed.where(F.col("depth").isNull() & ~F.col("_same")).select("_row", "_h", "_bytes")
         narrow, start, bits = rows.select("_h", "_bytes"), bits + 1, min(HASH_BITS, bits + 8)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*keep, F.col("_bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), (F.col("_bytes") > limit).alias("oversize"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), (F.col("_bytes") > limit).alias("oversize"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ def documents(spark, rows, extra=False):
     df = spark.createDataFrame(full, DOC_SCHEMA)
     if extra:
         from pyspark.sql import functions as F
-        names = ["hash", "row", "size", "component_id", "n_tokens", "shard", "score", "block", "key", "label", "Start", "rank"]
+        names = ["hash", "row", "size", "component_id", "n_tokens", "shard", "score", "block", "key", "label", "Start", "rank", "_id", "_s", "_k", "_h", "_take", "_gone", "_twice", "_meta", "_row", "_bytes", "_cell", "row_id", "runs", "whole"]
         df = df.select("*", *[F.lit(7).alias(n) for n in names])
     return df
 

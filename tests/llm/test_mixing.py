@@ -87,3 +87,16 @@ def test_documents_hold_the_taken_words(spark, docs, edge_rows):
     assert dict(taken) == want
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_come_back(spark, docs):
+    from gridlens.llm.mixing import mix_documents
+    from gridlens.llm.parity_join import keep_one
+    from gridlens.llm.sharding import shard
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)), f"s{i % 3}") for i in range(30)] + [(7, "tie " * 9, "s1")] * 3
+    df = docs(rows, extra=True)
+    odd = [c for c in df.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for out in (mix_documents(df), keep_one(df), shard(df, 400)):
+        kept = [c for c in odd if c not in ("n_bytes", "shard", "depth", "oversize")]
+        assert out.count() > 0 and set(kept) <= set(out.columns)
+        assert all(set(r) == {7} for r in out.select(*kept).distinct().collect())

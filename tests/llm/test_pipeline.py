@@ -21,7 +21,7 @@ def test_stages_take_effect_on_what_the_one_before_kept(spark, tmp_path):
         outs.append(kept)
         assert i == 4 or kept.columns == names
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    assert ids(outs[0]) == ids(quality_scores(docs, read("labels")).where("keep"))
+    assert ids(outs[0]) == ids(quality_scores(docs, read("labels")).where("keep AND NOT toxic"))
     comps = similarity_components(outs[0], 5, 80, 100)
     assert ids(outs[1]) == ids(comps.where("doc_id = component_id")) and outs[1].count() == len(ids(outs[1]))
     assert ids(outs[2]) == ids(outs[1]) - ids(benchmark_hits(outs[1], read("benchmark")))
