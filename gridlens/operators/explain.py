@@ -102,7 +102,10 @@ class LeafModel:
         """(rows, columns) for the rows ``X``; a row without a split on a column's features has 0."""
         out = np.zeros((len(X), len(self.columns)))
         for i, p in enumerate(self.paths):
-            leaf.add_values(out, X, self.made[i] if self.made else leaf.tables(p, self.columns))
+            if p.width > leaf.MAX_FEATURES:
+                leaf.add_wide_values(out, X, p, self.columns)
+            else:
+                leaf.add_values(out, X, self.made[i] if self.made else leaf.tables(p, self.columns))
         return out
 
 
@@ -111,12 +114,9 @@ def leaf_model(trees: list[Tree], columns: Sequence[tuple[int, ...]]) -> LeafMod
     main effect, (i, j) with i < j an interaction (see ``leaf_tables``)."""
     wanted = {c: k for k, c in enumerate(columns)}
     paths = [leaf.paths(t) for t in trees]
-    if any(p.width > leaf.MAX_FEATURES for p in paths):
-        raise ValueError(f"a path has more than {leaf.MAX_FEATURES} features; tables would have 2^features rows a leaf")
-    entries = sum(len(p.value) * p.width * (1 + (len(wanted) > len(paths[0].value))) * (8 << p.width) for p in paths)
-    if entries > TABLE_BYTES:
-        return LeafModel(paths, wanted, None)
-    made = [leaf.tables(p, wanted) for p in paths]
+    pairs = any(len(c) == 2 for c in wanted)
+    entries = sum(len(p.value) * p.width * (p.width + 1 if pairs else 2) // 2 * (8 << p.width) for p in paths)     # at most
+    made = [leaf.tables(p, wanted) for p in paths] if entries <= TABLE_BYTES else None
     return LeafModel(paths, wanted, made)
 
 

@@ -24,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Features on a path up to which leaves are tabulated; a leaf of d features has 2^d rows.
+#: Features on a path up to which all 2^d patterns of a tree's leaves are tabulated; of wider
+#: trees, each leaf only has the patterns that the rows at hand show.
 MAX_FEATURES = 10
 
 
@@ -105,11 +106,12 @@ class Tables:
         return self.table.nbytes
 
 
-def tables(p: Paths, columns: dict[tuple[int, ...], int]) -> Tables:
+def tables(p: Paths, columns: dict[tuple[int, ...], int], seen: np.ndarray | None = None) -> Tables:
     """Tables of the asked columns: (i,) for the value of feature i, (i, i) for its main effect,
-    (i, j) with i < j for an interaction."""
+    (i, j) with i < j for an interaction.  They have a column for each of the patterns ``seen`` (all by default)."""
     bits = 1 << np.arange(p.width)
-    on = (np.arange(1 << p.width)[:, None] & bits[None, :] > 0).astype(np.float64)
+    seen = np.arange(1 << p.width) if seen is None else seen
+    on = (seen[:, None] & bits[None, :] > 0).astype(np.float64)
     sizes = (p.feature >= 0).sum(axis=1)
     leaf, column, table = [], [], []
     for d in np.unique(sizes[sizes > 0]).tolist():              # leaves of equally many features together
@@ -142,7 +144,7 @@ def tables(p: Paths, columns: dict[tuple[int, ...], int]) -> Tables:
             if (main >= 0).any():
                 add(main, val - sum((t for pair, t in inter.items() if k in pair), np.zeros_like(val)))
     if not leaf:
-        return Tables(p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1 << p.width)))
+        return Tables(p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(seen))))
     leaf, column, table = np.concatenate(leaf), np.concatenate(column), np.concatenate(table)
     order = np.argsort(column, kind="stable")
     return Tables(p, leaf[order], column[order], np.ascontiguousarray(table[order]))
@@ -157,3 +159,14 @@ def add_values(out: np.ndarray, x: np.ndarray, t: Tables, rows: int = 1024) -> N
     for at in range(0, len(x), rows):
         seen = patterns(x[at:at + rows], t.paths)
         out[at:at + rows, t.column[starts]] += np.add.reduceat(flat[seen[:, t.leaf] + base], starts, axis=1)
+
+
+def add_wide_values(out: np.ndarray, x: np.ndarray, p: Paths, columns: dict[tuple[int, ...], int]) -> None:
+    """Like ``add_values``, for a tree with too many features on a path: a leaf at a time, and only the patterns that occur."""
+    for k in range(len(p.value)):
+        d = max(1, int((p.feature[k] >= 0).sum()))
+        one = Paths(*[getattr(p, name)[k:k + 1, :d] for name in ("feature", "low", "high", "ratio")], p.value[k:k + 1])
+        seen, of = np.unique(patterns(x, one)[:, 0], return_inverse=True)
+        t = tables(one, columns, seen)
+        for column, row in zip(t.column.tolist(), t.table):
+            out[:, column] += row[of]

@@ -125,3 +125,21 @@ def test_predict_batch_bounds(spark, fitted):
     assert (p["lower_bound"] <= p["predicted_load"] + 1e-9).all()
     assert (p["predicted_load"] <= p["upper_bound"] + 1e-9).all()
     assert (p["lower_bound"] >= 0).all()
+
+
+def test_leaf_tables_made_ahead_by_batch_or_by_leaf_agree(fitted, monkeypatch):
+    """The three ways to tabulate a model give the same values, main effects and interactions."""
+    fe, pm, trees = fitted
+    x = fe.select(*FEATS).limit(40).toPandas().to_numpy(dtype=float)
+    columns = [(0,), (3,), (0, 0), (0, 2), (1, 3)]
+    ahead = X.leaf_model(trees, columns)
+    assert ahead.made is not None
+    want = ahead.values(x)
+    full = X.shap_interaction_matrix(x, trees)
+    assert np.abs(want[:, 2:] - np.stack([full[:, 0, 0], full[:, 0, 2], full[:, 1, 3]], 1)).max() < 1e-10
+    assert np.abs(want[:, :2] - X.tree_shap(x, trees)[:, [0, 3]]).max() < 1e-10
+    monkeypatch.setattr(X, "TABLE_BYTES", 0)
+    by_batch = X.leaf_model(trees, columns)
+    assert by_batch.made is None and np.abs(by_batch.values(x) - want).max() < 1e-10
+    monkeypatch.setattr(X.leaf, "MAX_FEATURES", 0)
+    assert np.abs(X.leaf_model(trees, columns).values(x) - want).max() < 1e-10
