@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..plans import ordered as o
 from ..session import cut_lineage
 from . import compare
 from .standardize import latest_features
@@ -78,15 +79,15 @@ def follow_up_intent(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
                      report_words: Sequence[str] = FOLLOW_REPORT) -> DataFrame:
     """Previous turn's intent (overridden to what_if / report by follow-up
     words in this turn) and the route taken: what_if, report or general."""
-    w = Window.partitionBy(conv_col).orderBy(turn_col)
     t = _c(text_col)
-    d = turns.withColumn("intent", classify_intent(text_col, keywords))
-    prev = F.lag("intent", 1).over(w)
+    # chunks of consecutive turns: a conversation with very many turns is many tasks
+    lo = o.layout(turns.withColumn("intent", classify_intent(text_col, keywords)), turn_col, [conv_col], halo=1)
+    prev = F.lag("intent", 1).over(lo.window)
     prev = (F.when(_hits(t, report_words) > 0, F.lit("report"))
              .when(_hits(t, whatif_words) > 0, F.lit("what_if")).otherwise(prev))
     route = F.when(F.col("intent") == "what_if", "what_if").when(F.col("intent") == "report", "report") \
              .otherwise("general")
-    return d.withColumn("previous_intent", prev).withColumn("route", route)
+    return lo.finish(lo.df.withColumn("previous_intent", prev)).withColumn("route", route)
 
 
 def parse_periods(text, year: int = PERIOD_YEAR) -> Column:
