@@ -5,7 +5,7 @@ and the make-up of the page (lines and classes of characters).  Both are
 logistic regressions that start from a bounded sample of labelled rows.  In each
 round both score all unlabelled texts (copies count once), each passes all of which
 it is confident to the other as pseudo-labels, and both are fitted on, by gradients
-summed over the tasks.  Each view is then calibrated on labelled rows kept out of fitting, and a third regression on these
+summed over the tasks, those of all models in one pass.  Each view is then calibrated on labelled rows kept out of fitting, and a third regression on these
 rows combines the calibrated views, which scores all documents."""
 
 from __future__ import annotations
@@ -298,37 +298,51 @@ def _combined(views: list[View], held: tuple[Features, Features, np.ndarray]) ->
     return Model(*views, fit_logistic(logits, held[2]))
 
 
-def _taught_views(feats: DataFrame, model: Model, own: tuple[Features, Features, np.ndarray], picks: float) -> list[View]:
-    """Both views fitted on, on the labelled rows and on all pseudo-labels that the other
-    view of ``model`` gives; those of a class weigh as much as ``picks`` labelled rows at most."""
-    spark, y = feats.sparkSession, own[2]
-    views = [View(v.weights.copy(), v.mean, v.scale, v.dense.copy(), chosen=v.chosen) for v in (model.text, model.meta)]
-    teacher = spark.sparkContext.broadcast(model)
+def _told(model: Model, f: tuple[Features, Features]) -> tuple[np.ndarray, np.ndarray]:
+    """What each view hears: the logit of the other one."""
+    return model.meta.logit(f[1]), model.text.logit(f[0])
+
+
+def _taught_views(feats: DataFrame, models: list[Model], own: list[tuple[Features, Features, np.ndarray]], picks: list[float]) -> list[list[View]]:
+    """For each model both views fitted on, on its labelled rows and on all pseudo-labels that the other
+    view gives; those of a class weigh as much as ``picks`` labelled rows at most.  A pass over the
+    features sums the gradients of all models."""
+    context = feats.sparkSession.sparkContext
+    views = [[View(v.weights.copy(), v.mean, v.scale, v.dense.copy(), chosen=v.chosen) for v in (m.text, m.meta)] for m in models]
+    teachers = context.broadcast(models)
 
     def count(*f: Features) -> np.ndarray:
-        told = [_taught(z, np.ones(2)) for z in (teacher.value.meta.logit(f[1]), teacher.value.text.logit(f[0]))]
+        told = [_taught(z, np.ones(2)) for m in teachers.value for z in _told(m, f)]
         return np.array([((label == c) & (w > 0)).sum() for label, w in told for c in (0, 1)], np.int64)
 
-    counts = _summed(feats, 4, count).reshape(2, 2)
-    if not counts.any():
+    counts = _summed(feats, 4 * len(models), count).reshape(-1, 2, 2)         # model, view, class
+    moved = [k for k in range(len(models)) if counts[k].any()]
+    if not moved:
         return views
-    weight = np.minimum(1, picks / np.maximum(counts, 1))
-    total = len(y) + (weight * counts).sum(1)
-    shapes = [len(v.weights) for v in views], [len(v.dense) for v in views]
-    ends = np.cumsum([shapes[0][0], shapes[1][0], shapes[0][1], shapes[1][1]])
-    steps = [Adam([v.weights, v.dense]) for v in views]
+    weight = [np.minimum(1, p / np.maximum(c, 1)) for p, c in zip(picks, counts)]
+    total = [len(base[2]) + (w * c).sum(1) for base, w, c in zip(own, weight, counts)]
+    places = [[np.arange(len(v.weights)) if v.chosen is None else np.flatnonzero(v.chosen) for v in pair] for pair in views]     # of the weights that move
+    ends = np.cumsum([size for k in moved for v, at in zip(views[k], places[k]) for size in (len(at), len(v.dense))])
+    steps = [[Adam([v.weights, v.dense]) for v in pair] for pair in views]
     for _ in range(SHARED_STEPS):
-        now = spark.sparkContext.broadcast(views)
+        now = context.broadcast(views)
 
         def gradient(*f: Features) -> np.ndarray:
-            told = teacher.value.meta.logit(f[1]), teacher.value.text.logit(f[0])
-            parts = [p for view, own_f, z, w in zip(now.value, f, told, weight) for p in slope_of(view, own_f, *_taught(z, w))]
+            parts = []
+            for k in moved:
+                for view, at, own_f, z, w in zip(now.value[k], places[k], f, _told(teachers.value[k], f), weight[k]):
+                    buckets, dense = slope_of(view, own_f, *_taught(z, w))
+                    parts += [buckets[at], dense]
             return np.rint(np.concatenate(parts) * POINT).astype(np.int64)
 
-        sums = np.split(_summed(feats, int(ends[-1]), gradient) / POINT, ends[:-1])
-        for j, (view, adam) in enumerate(zip(views, steps)):
-            labelled = slope_of(view, own[j], y, np.ones(len(y)))
-            adam.move([(a + b) / total[j] + RIDGE * p for a, b, p in zip(sums[2 * j:], labelled, adam.parts)])
+        sums = iter(np.split(_summed(feats, int(ends[-1]), gradient) / POINT, ends[:-1]))
+        for k in moved:
+            y = own[k][2]
+            for j, (view, adam) in enumerate(zip(views[k], steps[k])):
+                told = [np.zeros(len(view.weights)), None]
+                told[0][places[k][j]], told[1] = next(sums), next(sums)
+                labelled = slope_of(view, own[k][j], y, np.ones(len(y)))
+                adam.move([(a + b) / total[k][j] + RIDGE * p for a, b, p in zip(told, labelled, adam.parts)])
         now.destroy()
     return views
 
@@ -363,9 +377,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_c
     if rounds and bases:
         tables = Tables(docs.sparkSession)
         feats = tables.store(_unlabelled(rows, reduce(DataFrame.unionByName, given), meta_cols))
-        for k, (base, out) in bases.items():
-            for _ in range(rounds):
-                models[k] = _combined(_taught_views(feats, models[k], base, len(base[2]) / 2 if picks is None else picks), out)
+        learned = list(bases)
+        base, out = [[bases[k][j] for k in learned] for j in (0, 1)]
+        weigh = [len(b[2]) / 2 if picks is None else picks for b in base]
+        for _ in range(rounds):
+            taught = _taught_views(feats, [models[k] for k in learned], base, weigh)
+            for k, pair, held in zip(learned, taught, out):
+                models[k] = _combined(pair, held)
         tables.clear()
     return rows, models
 
