@@ -13,9 +13,11 @@ that in turn to the share of all URLs.  The labels are the verdicts of the rules
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import Tables
+
 # Fixed values: (verdict, host, path) of the rules.
 RULES = [
     ("allow", "org", "/"),
@@ -52,13 +54,21 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+PATH = ["scope", "p1", "p2"]     # a path of a tree: 128 bits of hash, as its steps, one row each, would else carry the path once a segment
+
+
+def path_hash(path: Column) -> list[Column]:
+    return [F.xxhash64(path).alias("p1"), F.xxhash64(F.lit(1), path).alias("p2")]
+
+
 def _generalise(paths: DataFrame) -> DataFrame:
-    """(scope, path, segments, n, labelled, blocked) with segments made more general by one run over the trees."""
-    prefix = F.aggregate("segments", F.array(F.xxhash64("scope")),
-                         lambda done, s: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), s))))
-    steps = paths.select("scope", "path", "n", "labelled", "blocked", F.posexplode(F.arrays_zip(
-        F.col("segments").alias("segment"), F.slice(prefix, F.lit(1), F.size("segments")).alias("node"))).alias("depth", "step"))
-    steps = steps.select("scope", "path", "n", "labelled", "blocked", "depth", "step.segment", "step.node")
+    """(scope, p1, p2, segments, n, labelled, blocked) with segments made more general by one run over the trees.
+
+    A node is named by the exclusive or of its walk's hashed (depth, segment) pairs, a running
+    aggregate over the steps of a path, so that a path costs as much as it is long."""
+    steps = paths.select(*PATH, "n", "labelled", "blocked", F.posexplode("segments").alias("depth", "segment"))
+    earlier = Window.partitionBy(*PATH).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("node", F.coalesce(F.bit_xor(F.xxhash64("depth", "segment")).over(earlier), F.lit(0).cast("long")))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     child = steps.groupBy("scope", "depth", "node", "segment").agg(*sums)
     node = child.groupBy("scope", "depth", "node").agg(
@@ -69,29 +79,30 @@ def _generalise(paths: DataFrame) -> DataFrame:
                .when((F.col("children") > 1) & (off <= 0.5 + SIMILAR_Z * F.sqrt(F.col("labelled") * rate * (1 - rate))), "+")
                .otherwise(F.col("segment")))
     symbols = child.join(node, ["scope", "depth", "node"]).select("scope", "depth", "node", "segment", general.alias("symbol"))
-    return (steps.join(symbols, ["scope", "depth", "node", "segment"]).groupBy("scope", "path")
+    return (steps.join(symbols, ["scope", "depth", "node", "segment"]).groupBy(*PATH)
             .agg(F.sort_array(F.collect_list(F.struct("depth", "symbol"))).alias("walk"),   # as long as the path is deep
                  *[F.first(c).alias(c) for c in ("n", "labelled", "blocked")])
-            .select("scope", "path", F.transform("walk", lambda x: x["symbol"]).alias("segments"), "n", "labelled", "blocked"))
+            .select(*PATH, F.transform("walk", lambda x: x["symbol"]).alias("segments"), "n", "labelled", "blocked"))
 
 
 def templates(judged: DataFrame) -> DataFrame:
-    """(host, shape, template, purity) of each path shape of each host, from
-    (host, shape, labelled verdict) rows; ``purity`` is the smoothed blocked share."""
+    """(host, p1, p2, template, purity) of each path shape (by ``path_hash``) of each host, from
+    (host, shape, labelled verdict) rows; ``purity`` is the smoothed blocked share.  The trees are
+    built once: their table is read by the templates of the hosts, of all hosts, and the sums."""
     n = F.count("*").alias("n")
     seen = judged.groupBy("host", "shape").agg(n, F.count("label").alias("labelled"), F.sum(F.when(F.col("label") == "block", 1).otherwise(0)).alias("blocked"))
     scoped = seen.select(F.explode(F.array(F.concat(F.lit("h:"), "host"), F.lit("all"))).alias("scope"), F.col("shape").alias("path"), "n", "labelled", "blocked")
     scoped = scoped.groupBy("scope", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    trees = _generalise(_generalise(scoped.withColumn("segments", F.split("path", "/"))))
-    trees = trees.withColumn("template", F.concat_ws("/", "segments"))
+    trees = _generalise(_generalise(scoped.select("scope", *path_hash(F.col("path")), F.split("path", "/").alias("segments"), "n", "labelled", "blocked")))
+    trees = Tables(judged.sparkSession).store(trees.select(*PATH, F.concat_ws("/", "segments").alias("template"), "labelled", "blocked"))
     sums = trees.groupBy("scope", "template").agg(F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"))
-    known = trees.select("scope", "path", "template").join(sums, ["scope", "template"])
+    known = trees.select(*PATH, "template").join(sums, ["scope", "template"])
     everything = seen.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("all_share"))           # one row
-    wide = known.where(F.col("scope") == "all").select("path", F.col("t_blocked").alias("w_blocked"), F.col("t_labelled").alias("w_labelled"))
+    wide = known.where(F.col("scope") == "all").select("p1", "p2", F.col("t_blocked").alias("w_blocked"), F.col("t_labelled").alias("w_labelled"))
     wide = wide.crossJoin(F.broadcast(everything)).select(
-        "path", ((F.col("w_blocked") + SMOOTHING * F.col("all_share")) / (F.col("w_labelled") + SMOOTHING)).alias("wide_share"))
-    own = known.where(F.col("scope") != "all").join(wide, "path")
-    return own.select(F.substr("scope", F.lit(3)).alias("host"), F.col("path").alias("shape"), "template",
+        "p1", "p2", ((F.col("w_blocked") + SMOOTHING * F.col("all_share")) / (F.col("w_labelled") + SMOOTHING)).alias("wide_share"))
+    own = known.where(F.col("scope") != "all").join(wide, ["p1", "p2"])
+    return own.select(F.substr("scope", F.lit(3)).alias("host"), "p1", "p2", "template",
                       ((F.col("t_blocked") + SMOOTHING * F.col("wide_share")) / (F.col("t_labelled") + SMOOTHING)).alias("purity"))
 
 
@@ -110,6 +121,6 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     read = read.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), "given",
                        F.regexp_replace("path", "[0-9]+", "#").alias("shape"))
     judged = read.select("host", "shape", F.coalesce("says", "given").alias("label"))
-    found = read.join(templates(judged), ["host", "shape"], "left")
+    found = read.select("*", *path_hash(F.col("shape"))).join(templates(judged), ["host", "p1", "p2"], "left")
     return found.select("page_id", "host", "path", "rule",
                         F.coalesce("says", F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")).alias("verdict"), "template", "purity")

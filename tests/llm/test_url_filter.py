@@ -56,3 +56,14 @@ def test_given_pages_in_one_native_plan(spark, sf):
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert all((r.host, r.path, r.rule) == brute(r.url)[:3] for r in df.join(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").collect())
+
+
+def test_very_long_paths_cost_as_much_as_they_are_long(spark):
+    """Paths of 100,000 segments, with the tree table built once."""
+    long = ["http://deep.net/" + "a/" * 100_000 + end for end in ("x", "y", "1")]
+    rows = [(i, u) for i, u in enumerate(long + long[:1] + [f"http://deep.net/a/{i}" for i in range(20)])]
+    df = url_filter(spark.createDataFrame(rows, "page_id long, url string"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") < 40
+    got = {r.page_id: r for r in df.collect()}
+    assert len(got) == len(rows) and got[0].path == "/" + "a/" * 100_000 + "x" and got[0].template == got[3].template
+    assert got[2].template.count("/") == 100_001 and got[2].template.endswith(("#", "+")) and got[10].template == got[23].template
