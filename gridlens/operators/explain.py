@@ -269,11 +269,16 @@ def feature_grid(df: DataFrame, feature: str, n: int = P.PDP_GRID, name: str = "
                                    / F.lit(max(n - 1, 1))).cast("double").alias(name))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a table of few partitions makes up to 900 times its rows to predict."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _predict_on_grid(pm: PipelineModel, rows: DataFrame, feature: str, grid: DataFrame,
                      value: str = "grid_value") -> DataFrame:
     """rows x grid (grid size is a parameter: broadcast) with ``feature``
     set to each grid value, one ``transform``."""
-    j = rows.crossJoin(F.broadcast(grid)).withColumn(feature, F.col(value))
+    j = _spread(rows).crossJoin(F.broadcast(grid)).withColumn(feature, F.col(value))
     return pm.transform(j).drop("features_vec")
 
 
@@ -295,7 +300,7 @@ def pdp_2d(pm: PipelineModel, df: DataFrame, f1: str, f2: str, n_grid: int = P.P
     g1 = feature_grid(df, f1, n_grid, "v1").withColumnRenamed("grid_index", "i1")
     g2 = feature_grid(df, f2, n_grid, "v2").withColumnRenamed("grid_index", "i2")
     grid = g1.crossJoin(g2)
-    j = rows.crossJoin(F.broadcast(grid)).withColumn(f1, F.col("v1")).withColumn(f2, F.col("v2"))
+    j = _spread(rows).crossJoin(F.broadcast(grid)).withColumn(f1, F.col("v1")).withColumn(f2, F.col("v2"))
     p = pm.transform(j)
     return p.groupBy("i1", "i2", "v1", "v2").agg(F.avg("prediction").alias("avg_prediction"))
 

@@ -143,3 +143,13 @@ def test_leaf_tables_made_ahead_by_batch_or_by_leaf_agree(fitted, monkeypatch):
     assert by_batch.made is None and np.abs(by_batch.values(x) - want).max() < 1e-10
     monkeypatch.setattr(X.leaf, "MAX_FEATURES", 0)
     assert np.abs(X.leaf_model(trees, columns).values(x) - want).max() < 1e-10
+
+
+def test_grid_predictions_are_dealt_over_all_cores(spark, fitted):
+    fe, pm, _ = fitted
+    one = fe.coalesce(1)
+    n = 2 * spark.sparkContext.defaultParallelism
+    assert X.ice(pm, one, "temperature", n_grid=3).select(F.spark_partition_id()).distinct().count() == n
+    assert X.pdp_2d(pm, one, "temperature", "hour", n_grid=2).count() == 4
+    got = {(r.row_id, r.grid_index): r.prediction for r in X.ice(pm, one, "temperature", n_grid=3).collect()}
+    assert len(got) == 3 * fe.count()
