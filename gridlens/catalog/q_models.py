@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ def feature_table(spark, sf_dir):
     if key not in _CACHE:
         base = std.standardize_columns(fx.hourly(spark, sf_dir))
         fe = feat.create_features(base)
-        _CACHE[key] = feat.train_test_split(fe)
+        # fits, scores and explanations read it again and again: store it once
+        _CACHE[key] = cut_lineage(feat.train_test_split(fe))
     return _CACHE[key]
 
 
@@ -171,21 +172,34 @@ def q_cv_compare(spark, sf_dir):
 
 def _candidate_metrics(spark, sf_dir):
     """Test metrics of every candidate model."""
-    return met.regression_metrics(q_train_all(spark, sf_dir))
+    key = ("candidates", sf_dir, spark.sparkContext.applicationId)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(met.regression_metrics(q_train_all(spark, sf_dir)))
+    return _CACHE[key]
+
+
+def _candidates(spark, sf_dir):
+    """``(test metrics, CV averages)`` of the candidates; neither set of fits needs the other, so they run together."""
+    feature_table(spark, sf_dir)    # both read it
+    found = M.fit_concurrently(spark, {"test": partial(_candidate_metrics, spark, sf_dir),
+                                       "cv": partial(_cv_avg, spark, sf_dir)})
+    return found["test"], found["cv"]
 
 
 @register("candidate_pool")
 def q_candidate_pool(spark, sf_dir):
-    test = _candidate_metrics(spark, sf_dir).select(
+    test, cv = _candidates(spark, sf_dir)
+    test = test.select(
         "model", F.lit("test").alias("source"), F.expr("stack(2, 'mae', mae, 'rmse', rmse)").alias("metric", "value"))
-    cv = _cv_avg(spark, sf_dir).select("model", F.lit("cv").alias("source"), "metric", F.col("mean").alias("value"))
+    cv = cv.select("model", F.lit("cv").alias("source"), "metric", F.col("mean").alias("value"))
     return round6(test.unionByName(cv))
 
 
 @register("selection_summary")
 def q_selection_summary(spark, sf_dir):
-    ranked = met.comparison_table(_candidate_metrics(spark, sf_dir))
-    cv = _cv_avg(spark, sf_dir).filter(F.col("metric") == "mae").select(
+    test, cv = _candidates(spark, sf_dir)
+    ranked = met.comparison_table(test)
+    cv = cv.filter(F.col("metric") == "mae").select(
         "model", F.col("mean").alias("cv_mae_mean"), F.col("std").alias("cv_mae_std"))
     return round6(ranked.join(cv, "model", "left").select("model", "mae", "r2", "rank_mae", "rank_r2",
                                                          "cv_mae_mean", "cv_mae_std"))

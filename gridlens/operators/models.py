@@ -9,6 +9,7 @@ arrays, importances) ever reach the driver."""
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -31,8 +32,11 @@ from .features import sequence_windows
 
 VEC = "features_vec"
 MODEL_TYPES = ("gbt", "gbt_early_stop", "forest")
-#: Fits at a time.  Each holds its rows' binned copy in executor memory while it runs.
-FIT_THREADS = 8
+#: Fits at a time.  Each holds its rows' binned copy in executor memory (or on disk) while it runs.
+FIT_THREADS = 16
+#: Rows that one task of a fit takes.  A boosted model is some 1,200 jobs of a few milliseconds of counting
+#: for as many rows; more tasks than that only add their starting time to each job.
+FIT_ROWS = 50_000
 
 
 def gbt_params(**over) -> dict:
@@ -45,6 +49,13 @@ def gbt_params(**over) -> dict:
     return base
 
 
+def fit_rows(df: DataFrame, columns: Sequence[str], total: int | None = None) -> DataFrame:
+    """The rows of a fit, computed and stored once (a fit and its metrics read them many times), in one partition
+    per ``FIT_ROWS`` rows, or as few as they came in."""
+    rows = cut_lineage(df.select(*columns))
+    return rows.coalesce(max(1, math.ceil((rows.count() if total is None else total) / FIT_ROWS)))
+
+
 def _pipeline(features: Sequence[str], estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol=VEC, handleInvalid="error"),
                             estimator])
@@ -124,11 +135,12 @@ class TrainedModel:
 def train_model(df: DataFrame, features: Sequence[str], target: str = "load", with_interval: bool = True,
                 interval_trees: int = P.INTERVAL_TREES, interval_depth: int = P.INTERVAL_DEPTH,
                 **over) -> TrainedModel:
-    """Point model + interval model + training metrics (one aggregate)."""
-    point = train_gbt(df, features, target, **over)
-    interval = train_interval_model(df, point, features, target, interval_trees, interval_depth) \
+    """Point model + interval model + training metrics (one aggregate), on rows stored once."""
+    rows = fit_rows(df, [*features, target])
+    point = train_gbt(rows, features, target, **over)
+    interval = train_interval_model(rows, point, features, target, interval_trees, interval_depth) \
         if with_interval else None
-    scored = point.transform(df).select(F.lit("train").alias("model"), F.col(target).alias("y"),
+    scored = point.transform(rows).select(F.lit("train").alias("model"), F.col(target).alias("y"),
                                         F.col("prediction").alias("yhat"))
     m = met.regression_metrics(scored, ["model"]).drop("model").first().asDict()
     return TrainedModel(point, interval, list(features), target, m)
@@ -153,7 +165,7 @@ def train_all_models(df: DataFrame, features: Sequence[str], target: str = "load
     for name in models:
         if name not in MODEL_TYPES:
             raise ValueError(f"unknown model {name}")
-    rows = cut_lineage(df.select(*features, target))
+    rows = fit_rows(df, [*features, target])
     return fit_concurrently(df.sparkSession, {name: partial(fit_model, name, rows, features, target, **over) for name in models}, threads)
 
 
@@ -247,8 +259,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str = "load",
             raise ValueError(f"unknown model type {kind}")
     spark = df.sparkSession
     rows = with_row_index(df.select(time_col, *features, target), [time_col], idx="row_id", checkpoint=True)
-    rows = cut_lineage(rows.select("row_id", *features, target))
     n = rows.count()
+    rows = fit_rows(rows, ["row_id", *features, target], n)
     size = n // (n_splits + 1)
     if not size:
         raise ValueError(f"{n} rows are too few for {n_splits} folds")

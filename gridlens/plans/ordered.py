@@ -157,9 +157,9 @@ def fill_forward(core: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     carry = ends.select(*keys, CHUNK, *[pick(F.col("_e_" + c), ignorenulls=True).over(cw)
                                         .alias("_c_" + c) for c in cols])
     out = carry_join(core, carry, keys)
-    for c in cols:
-        out = out.withColumn(c + suffix, F.coalesce(pick(F.col(c), ignorenulls=True).over(w),
-                                                    F.col("_c_" + c)))
+    # one projection: a step per column would have the whole plan analysed again for each
+    out = out.withColumns({c + suffix: F.coalesce(pick(F.col(c), ignorenulls=True).over(w), F.col("_c_" + c))
+                           for c in cols})
     return out.drop(*["_c_" + c for c in cols])
 
 

@@ -1,5 +1,7 @@
 """Model sizes, early stopping and candidates of the model queries."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,36 @@ def test_concurrent_folds_equal_one_by_one_fits(spark):
         M.cross_validate(df.limit(3), ["a", "b"], n_splits=4)
     with pytest.raises(ValueError):
         M.train_all_models(df, ["a"], models=["nothing"])
+
+
+def test_training_computes_its_rows_once_in_tasks_of_many_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x % 7)
+
+    df = spark.range(0, 160, 1, 8).select(counted("id").alias("a"), (F.col("id") % 11).cast("double").alias("load"))
+    tm = M.train_model(df, ["a"], maxIter=2, maxDepth=2, interval_trees=2, interval_depth=2)
+    assert tm.metrics["n"] == 160 and seen.value == 160
+    rows = M.fit_rows(df, ["a", "load"])
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 160
+    assert M.fit_rows(df, ["a"], 2 * M.FIT_ROWS + 1).rdd.getNumPartitions() == 3
+
+
+def test_candidates_and_their_folds_are_fitted_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def waits(sql):
+        def run(spark, sf_dir):
+            both.wait()
+            return spark.sql(sql)
+        return run
+
+    monkeypatch.setattr(Q, "feature_table", lambda spark, sf_dir: None)
+    monkeypatch.setattr(Q, "_candidate_metrics", waits("SELECT 'gbt' model, 1D mae, 2D rmse, 0.5D r2"))
+    monkeypatch.setattr(Q, "_cv_avg", waits("SELECT 'gbt' model, 'mae' metric, 3D mean, 0D std"))
+    assert {(r.source, r.metric, r.value) for r in Q.q_candidate_pool(spark, "").collect()} == {
+        ("test", "mae", 1.0), ("test", "rmse", 2.0), ("cv", "mae", 3.0)}
+    assert [r.cv_mae_mean for r in Q.q_selection_summary(spark, "").collect()] == [3.0]
