@@ -34,9 +34,9 @@ VEC = "features_vec"
 MODEL_TYPES = ("gbt", "gbt_early_stop", "forest")
 #: Fits at a time.  Each holds its rows' binned copy in executor memory (or on disk) while it runs.
 FIT_THREADS = 16
-#: Rows that one task of a fit takes.  A boosted model is some 1,200 jobs of a few milliseconds of counting
-#: for as many rows; more tasks than that only add their starting time to each job.
-FIT_ROWS = 50_000
+#: Rows that one task of a fit takes.  A boosted model of 200 trees is some 1,200 jobs one after the other; counting
+#: as many rows costs about as much as starting the task, so smaller tasks only lengthen every job.
+FIT_ROWS = 20_000
 
 
 def gbt_params(**over) -> dict:
