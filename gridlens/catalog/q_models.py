@@ -31,11 +31,19 @@ FEATURES = feat.FEATURES
 _CACHE: dict = {}
 
 
+def _hourly(spark, sf_dir):
+    """The hourly series, stored once: each table made of it would scan the events anew."""
+    key = ("hourly", sf_dir, spark.sparkContext.applicationId)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(fx.hourly(spark, sf_dir))
+    return _CACHE[key]
+
+
 def feature_table(spark, sf_dir):
     """Standardised hourly series -> 30 features, ``row_id`` and split."""
     key = ("features", sf_dir, spark.sparkContext.applicationId)
     if key not in _CACHE:
-        base = std.standardize_columns(fx.hourly(spark, sf_dir))
+        base = std.standardize_columns(_hourly(spark, sf_dir))
         fe = feat.create_features(base)
         # fits, scores and explanations read it again and again: store it once
         _CACHE[key] = cut_lineage(feat.train_test_split(fe))
@@ -427,7 +435,7 @@ def q_insights_bundle(spark, sf_dir):
     """Trends of the last 168 hours, anomalies of the test predictions,
     lagged correlations up to 12 h, as one long table + summary counts."""
     from ..operators import windows as win
-    h = fx.hourly(spark, sf_dir)
+    h = _hourly(spark, sf_dir)
     last = win.tail_n(h, 168)
     trends = insight.trend_runs(last, min_duration=3)
     tm = trained(spark, sf_dir)

@@ -51,9 +51,13 @@ def gbt_params(**over) -> dict:
 
 def fit_rows(df: DataFrame, columns: Sequence[str], total: int | None = None) -> DataFrame:
     """The rows of a fit, computed and stored once (a fit and its metrics read them many times), in one partition
-    per ``FIT_ROWS`` rows, or as few as they came in."""
+    per ``FIT_ROWS`` rows.  Rows that came in fewer partitions are dealt evenly, then sorted and stored again: boosting
+    draws them by their place, so a partition that is computed anew must have them in the same order."""
     rows = cut_lineage(df.select(*columns))
-    return rows.coalesce(max(1, math.ceil((rows.count() if total is None else total) / FIT_ROWS)))
+    tasks = max(1, math.ceil((rows.count() if total is None else total) / FIT_ROWS))
+    if rows.rdd.getNumPartitions() >= tasks:
+        return rows.coalesce(tasks)
+    return cut_lineage(rows.repartition(tasks).sortWithinPartitions(*columns))
 
 
 def _pipeline(features: Sequence[str], estimator) -> Pipeline:

@@ -107,3 +107,30 @@ def test_candidates_and_their_folds_are_fitted_side_by_side(spark, monkeypatch):
     assert {(r.source, r.metric, r.value) for r in Q.q_candidate_pool(spark, "").collect()} == {
         ("test", "mae", 1.0), ("test", "rmse", 2.0), ("cv", "mae", 3.0)}
     assert [r.cv_mae_mean for r in Q.q_selection_summary(spark, "").collect()] == [3.0]
+
+
+def test_a_fit_of_rows_in_one_partition_is_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIT_ROWS", 100)
+    df = spark.range(0, 400, 1, 1).select(F.col("id").cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("load"))
+    one, two = [M.fit_rows(df, ["a", "load"]).rdd.glom().collect() for _ in range(2)]
+    assert [len(p) for p in one] == [100] * 4 and one == two
+    assert sorted(r.a for p in one for r in p) == [float(i) for i in range(400)]
+
+
+def test_insights_bundle_computes_the_hourly_series_once(spark, small, monkeypatch, tmp_path):
+    hours = F.col("id") % 480
+    spark.range(960).select(
+        F.timestamp_seconds(hours * 3600 + 1704067200).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"),
+        (10 + hours % 24 + F.col("id") % 7).cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), (F.col("id") % 90).cast("string"), F.lit("}")).alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    seen, hourly = spark.sparkContext.accumulator(0), Q.fx.hourly
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(Q.fx, "hourly", lambda spark, sf_dir: hourly(spark, sf_dir).withColumn("load", counted("load")))
+    got = Q.q_insights_bundle(spark, str(tmp_path)).collect()
+    assert {"trend", "correlation"} <= {r.section for r in got}
+    assert seen.value == 480
