@@ -432,31 +432,46 @@ def q_period_pair_week(spark, sf_dir):
 # ------------------------------------------------------------------ flagships
 @register("insights_bundle")
 def q_insights_bundle(spark, sf_dir):
-    """Trends of the last 168 hours, anomalies of the test predictions,
-    lagged correlations up to 12 h, as one long table + summary counts."""
+    """Trends of the last 168 processed hours, anomalies of the test predictions with
+    their causes, lagged correlations up to 12 h and the summary over all of them
+    (counts and first lines), as one long table; cells that a section does not have are null."""
     from ..operators import windows as win
-    h = _hourly(spark, sf_dir)
-    last = win.tail_n(h, 168)
-    trends = insight.trend_runs(last, min_duration=3)
+    h = feature_table(spark, sf_dir)
+    # each is listed, counted and summarised: bounded by 168 hours, the test rows and the lags
+    trends = cut_lineage(insight.trend_runs(win.tail_n(h.select("datetime", "load"), 168), min_duration=3))
     tm = trained(spark, sf_dir)
-    te = M.predict_batch(tm, _test(spark, sf_dir), return_confidence=False).select(
+    te = M.predict_batch(tm, _test(spark, sf_dir)).select(
         "datetime", F.col("load").alias("actual_load"), "predicted_load", "temperature", "load_lag_1h", "month",
-        "is_holiday")
-    anoms = insight.anomaly_insights(te)
-    corr = insight.lagged_correlation(h, "load", "temperature", max_lag=12, min_abs=0.0)
+        "is_holiday", "is_weekend")
+    anoms = cut_lineage(insight.anomaly_insights(te))
+    corr = cut_lineage(insight.lagged_correlation(h, "load", "temperature", max_lag=12, min_abs=0.0))
     # top-k first (bounded TakeOrderedAndProject), then rank the k rows
     t5 = trends.orderBy("start_time").limit(5)
     a10 = anoms.orderBy("severity_rank", "datetime").limit(10)
     t = t5.select(F.lit("trend").alias("section"), F.row_number().over(
         _w("start_time")).alias("rank"), F.col("trend_type").alias("label"),
-        F.col("change_rate").alias("value"), F.col("start_time").alias("datetime"))
+        F.col("change_rate").alias("value"), F.col("start_time").alias("datetime"),
+        F.col("duration").cast("long").alias("duration"), "confidence")
     a = a10.select(F.lit("anomaly").alias("section"), F.row_number().over(
         _w("severity_rank", "datetime")).alias("rank"), F.col("severity").alias("label"),
-        F.col("error_percentage").alias("value"), "datetime")
+        F.col("error_percentage").alias("value"), "datetime", "anomaly_type",
+        F.array_join("possible_causes", "; ").alias("text"))
     c = corr.select(F.lit("correlation").alias("section"), F.col("rank"), F.format_string("lag %d", F.col("lag"))
                     .alias("label"), F.col("correlation").alias("value"),
-                    F.lit(None).cast("timestamp_ntz").alias("datetime"))
-    return round6(t.unionByName(a).unionByName(c))
+                    "feature1", "feature2", F.col("lag").cast("long").alias("lag"),
+                    F.format_string("%s and %s: r = %.3f at a lag of %d h", "feature1", "feature2", "correlation", "lag")
+                    .alias("text"))
+    s = rep.insight_summary(trends, anoms, corr).crossJoin(
+        F.broadcast(anoms.agg(F.count(F.lit(1)).alias("n_anomalies"))))
+    lines = {"n_trends": "top_trends", "n_anomalies": "top_anomalies", "n_high_anomalies": None,
+             "n_medium_anomalies": None, "n_correlations": "top_correlations"}
+    s = s.select(F.lit("summary").alias("section"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("rank"), F.lit(n).alias("label"), F.col(n).cast("double").alias("value"),
+                 (F.col(text) if text else F.lit(None).cast("string")).alias("text"))
+        for k, (n, text) in enumerate(lines.items(), 1)])))
+    out = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), [t, a, c, s])
+    return round6(out.select("section", "rank", "label", "value", "datetime", "duration", "confidence", "anomaly_type",
+                             "feature1", "feature2", "lag", "text"))
 
 
 def _w(*cols):

@@ -134,3 +134,41 @@ def test_insights_bundle_computes_the_hourly_series_once(spark, small, monkeypat
     got = Q.q_insights_bundle(spark, str(tmp_path)).collect()
     assert {"trend", "correlation"} <= {r.section for r in got}
     assert seen.value == 480
+
+
+def test_insights_bundle_has_its_summary_causes_and_processed_hours(spark, small, tmp_path):
+    hours = F.col("id") % 600        # the last of them from a Sunday evening on, with spikes that no model foresees
+    spike = (hours > 500) & (hours % 17 == 0)
+    spark.range(1200).select(
+        F.timestamp_seconds(hours * 3600 + 1708851600).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"),
+        F.when(hours != 590, F.when(spike, 900.0).otherwise((10 + hours % 24 + F.col("id") % 7).cast("double"))).alias("value"),
+        F.concat(F.lit('{"k": '), (F.col("id") % 90).cast("string"), F.lit("}")).alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    got = Q.q_insights_bundle(spark, str(tmp_path))
+    assert got.columns[:5] == ["section", "rank", "label", "value", "datetime"]
+    rows = got.collect()
+    summary = {r.label: r for r in rows if r.section == "summary"}
+    assert list(summary) == ["n_trends", "n_anomalies", "n_high_anomalies", "n_medium_anomalies", "n_correlations"]
+
+    fe = Q.feature_table(spark, str(tmp_path))
+    pred = M.predict_batch(Q.trained(spark, str(tmp_path)), fe.filter("split = 'test'")).select("datetime", "load", "predicted_load", "is_weekend").collect()
+    off = {r.datetime: (abs(r.load - r.predicted_load) / r.predicted_load, r) for r in pred if r.predicted_load}
+    bad = {t: (x, r) for t, (x, r) in off.items() if x > 0.15}
+    assert summary["n_anomalies"].value == len(bad) > 10               # of all, not of the ten that are listed
+    assert summary["n_high_anomalies"].value == sum(x > 0.3 for x, _ in bad.values())
+    assert summary["n_medium_anomalies"].value == sum(0.2 < x <= 0.3 for x, _ in bad.values())
+    assert len(summary["n_anomalies"].text.split("\n")) == 3
+
+    listed = [r for r in rows if r.section == "anomaly"]
+    assert len(listed) == 10 and {bool(bad[r.datetime][1].is_weekend) for r in listed} == {True, False}
+    for r in listed:
+        error = bad[r.datetime][1]
+        assert ("holiday activity differs" in r.text) == error.is_weekend       # a weekend counts as a holiday here
+        assert r.anomaly_type == ("high_error" if error.load > error.predicted_load else "low_error")
+    assert summary["n_trends"].value >= len(found := [r for r in rows if r.section == "trend"]) > 0
+    assert all(r.duration >= 3 and 0 < r.confidence <= 1 for r in found)
+
+    corr = {r.lag: r for r in rows if r.section == "correlation"}
+    assert summary["n_correlations"].value == len(corr) == 5
+    load, temp = zip(*[(r.load, r.temperature) for r in fe.orderBy("datetime").collect()])
+    for lag, r in corr.items():                                        # over the processed hours, as the reference
+        assert abs(r.value - np.corrcoef(load[lag:], temp[:len(temp) - lag])[0, 1]) < 1e-5 and (r.feature1, r.feature2) == ("load", "temperature")
