@@ -2,8 +2,8 @@
 residuals, a sequence regressor, batch / request prediction, cross
 validation and model storage.
 
-Training is distributed MLlib; prediction is ``model.transform`` (JVM,
-no Python in the hot path).  Only model-sized values (parameters, node
+Training is distributed MLlib, but for boosted fits of one task's rows (``boosting``, the same models);
+prediction is ``model.transform`` (JVM, no Python in the hot path).  Only model-sized values (parameters, node
 arrays, importances) ever reach the driver."""
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from typing import Sequence
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,7 @@ from .. import params as P
 from ..plans.ordered import with_row_index
 from ..session import cut_lineage, ensure_checkpoint_dir
 from . import metrics as met
+from .boosting import BoostedModel, Boosting, Forest, boosted
 from .features import sequence_windows
 
 VEC = "features_vec"
@@ -35,7 +36,8 @@ MODEL_TYPES = ("gbt", "gbt_early_stop", "forest")
 #: Fits at a time.  Each holds its rows' binned copy in executor memory (or on disk) while it runs.
 FIT_THREADS = 16
 #: Rows that one task of a fit takes.  A boosted model of 200 trees is some 1,200 jobs one after the other; counting
-#: as many rows costs about as much as starting the task, so smaller tasks only lengthen every job.
+#: as many rows costs about as much as starting the task, so smaller tasks only lengthen every job.  A boosted fit
+#: of no more rows, in one partition, is one task as a whole (``boosting``).
 FIT_ROWS = 20_000
 
 
@@ -65,9 +67,15 @@ def _pipeline(features: Sequence[str], estimator) -> Pipeline:
                             estimator])
 
 
+def _fit_boosted(df: DataFrame, features: Sequence[str], est: GBTRegressor) -> PipelineModel:
+    """``est`` fitted on ``df``; where its rows are one task's, in one task instead of a job a level (the same model)."""
+    model = boosted(df, features, est, FIT_ROWS)
+    pipeline = _pipeline(features, est)
+    return pipeline.fit(df) if model is None else PipelineModel([*pipeline.getStages()[:-1], model])
+
+
 def train_gbt(df: DataFrame, features: Sequence[str], target: str = "load", **over) -> PipelineModel:
-    est = GBTRegressor(featuresCol=VEC, labelCol=target, predictionCol="prediction", **gbt_params(**over))
-    return _pipeline(features, est).fit(df)
+    return _fit_boosted(df, features, Boosting(featuresCol=VEC, labelCol=target, predictionCol="prediction", **gbt_params(**over)))
 
 
 def held_out(df: DataFrame, features: Sequence[str], share: int = 5) -> DataFrame:
@@ -96,7 +104,7 @@ def _first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     weights = gateway.new_array(gateway.jvm.double, n)
     for i, (tree, weight) in enumerate(zip(list(old.trees())[:n], list(old.treeWeights())[:n])):
         trees[i], weights[i] = tree, weight
-    new = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+    new = BoostedModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(
         old.uid(), trees, weights, old.numFeatures()))
     return model._copyValues(new)
 
@@ -109,8 +117,8 @@ def train_gbt_early_stop(df: DataFrame, features: Sequence[str], target: str = "
     stops at the first tree without enough improvement.)"""
     p = gbt_params(**over)
     p.setdefault("maxDepth", 5)
-    est = GBTRegressor(featuresCol=VEC, labelCol=target, **p)
-    assembler, model = _pipeline(features, est).fit(df.filter(~F.col(valid_col))).stages
+    est = Boosting(featuresCol=VEC, labelCol=target, **p)
+    assembler, model = _fit_boosted(df.filter(~F.col(valid_col)), features, est).stages
     errors = model.evaluateEachIteration(assembler.transform(df.filter(F.col(valid_col))), "squared")
     return PipelineModel([assembler, _first_trees(model, best_iteration(errors, patience))])
 
@@ -121,7 +129,7 @@ def train_interval_model(df: DataFrame, point: PipelineModel, features: Sequence
     """Forest on ``|y - yhat|`` of the training rows (uncertainty model)."""
     res = point.transform(df).withColumn("_abs_res", F.abs(F.col(target) - F.col("prediction"))) \
                .drop("prediction", VEC)
-    est = RandomForestRegressor(featuresCol=VEC, labelCol="_abs_res", predictionCol="uncertainty",
+    est = Forest(featuresCol=VEC, labelCol="_abs_res", predictionCol="uncertainty",
                                 numTrees=trees, maxDepth=depth, seed=seed)
     return _pipeline(features, est).fit(res)
 
@@ -157,7 +165,7 @@ def fit_model(kind: str, df: DataFrame, features: Sequence[str], target: str = "
     if kind == "gbt_early_stop":
         return train_gbt_early_stop(held_out(df, features), features, target, **over)
     if kind == "forest":
-        est = RandomForestRegressor(featuresCol=VEC, labelCol=target, numTrees=over.get("numTrees", P.INTERVAL_TREES),
+        est = Forest(featuresCol=VEC, labelCol=target, numTrees=over.get("numTrees", P.INTERVAL_TREES),
                                     maxDepth=over.get("maxDepth", P.INTERVAL_DEPTH), seed=P.SEED)
         return _pipeline(features, est).fit(df)
     raise ValueError(f"unknown model {kind}")

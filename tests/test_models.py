@@ -172,3 +172,52 @@ def test_insights_bundle_has_its_summary_causes_and_processed_hours(spark, small
     load, temp = zip(*[(r.load, r.temperature) for r in fe.orderBy("datetime").collect()])
     for lag, r in corr.items():                                        # over the processed hours, as the reference
         assert abs(r.value - np.corrcoef(load[lag:], temp[:len(temp) - lag])[0, 1]) < 1e-5 and (r.feature1, r.feature2) == ("load", "temperature")
+
+
+def _boosting_input(spark, rows, partitions=1):
+    rng = np.random.default_rng(rows)
+    x = np.round(rng.normal(size=(rows, 6)), 1)
+    x[:, 3], x[:, 5] = rng.integers(0, 3, rows), 4.0
+    y = x[:, 0] * 3 + x[:, 1] ** 2 + rng.normal(size=rows) + 50
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([[*map(float, a), float(b)] for a, b in zip(x, y)], [*names, "load"]).repartition(partitions)
+    return M.cut_lineage(df), names
+
+
+def _stored_nodes(spark, model, path):
+    model.save(path)
+    return spark.read.parquet(f"{path}/data").orderBy("treeID", "nodeData.id").collect()
+
+
+def test_a_boosted_fit_of_one_task_is_mllibs_node_for_node(spark, tmp_path):
+    for rows, over in ((250, {"maxIter": 4}), (14, {"maxIter": 3}), (10_400, {"maxIter": 2, "maxDepth": 3, "featureSubsetStrategy": "2"}),
+                       (60, {"maxIter": 2, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1})):
+        df, names = _boosting_input(spark, rows)
+        est = M.Boosting(featuresCol=M.VEC, labelCol="load", predictionCol="prediction", **M.gbt_params(**over))
+        own, full = M.boosted(df, names, est, M.FIT_ROWS), M._pipeline(names, est).fit(df).stages[-1]
+        assert _stored_nodes(spark, own, f"{tmp_path}/own{rows}") == _stored_nodes(spark, full, f"{tmp_path}/full{rows}")
+        assert own.treeWeights == full.treeWeights and own.numFeatures == full.numFeatures == 6
+        assert {p.name: v for p, v in own.extractParamMap().items()} == {p.name: v for p, v in full.extractParamMap().items()}
+        assert len(own.trees) == over["maxIter"]
+
+
+def test_a_boosted_fit_of_few_rows_takes_few_jobs(spark):
+    df, names = _boosting_input(spark, 200)
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        M.train_gbt(df, names, maxIter=8)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 16      # MLlib: more than 40
+
+
+def test_other_fits_are_left_to_mllib(spark):
+    df, names = _boosting_input(spark, 200)
+    est = M.Boosting(featuresCol=M.VEC, labelCol="load", **M.gbt_params(maxIter=2))
+    assert M.boosted(df, names, est, 199) is None
+    assert M.boosted(df.repartition(2), names, est, 200) is None
+    assert M.boosted(df.limit(0).coalesce(1), names, est, 200) is None
+    assert M.boosted(df, names, est.copy().setMaxBins(8), 200) is None
+    assert M.train_gbt(df.repartition(2), names, maxIter=2).stages[-1].getNumTrees == 2
+    with pytest.raises(Exception, match="null"):
+        M.train_gbt(df.withColumn("c0", F.lit(None).cast("double")), names, maxIter=2)
